@@ -88,6 +88,22 @@ def repeat_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
+def count_texts(texts: pa.Array) -> list[np.ndarray]:
+    """COUNTS of each text."""
+    data, bounds = as_bytes(texts)
+    blank = BLANK[data]
+    _, _, words_at = word_bounds(~blank, bounds)
+    lines, dups, repeats = [], [], []
+    for text in texts.cast(pa.binary()).to_pylist():
+        full = [x for x in text.split(b"\n") if x.strip()]
+        lines.append(len(full))
+        dups.append(len(full) - len(set(full)))
+        repeats.append(repeat_words(text.split()))
+    letters = ~blank & (data & 0xC0 != 0x80)
+    found = [np.diff(words_at), sums(letters, bounds), sums(SYMBOLS[data], bounds), dups, repeats, lines, sums(UPPER[data], bounds), sums(MARKS[data], bounds)]
+    return [np.asarray(x, np.int64) for x in found]
+
+
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", strata: Sequence[str] = STRATA) -> DataFrame:
     """doc_id, stratum and COUNTS of each row's whole text."""
     lang = F.col(stratum_col).cast("string")
@@ -96,18 +112,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch):
-                data, bounds = as_bytes(step.column(1))
-                blank = BLANK[data]
-                _, _, words_at = word_bounds(~blank, bounds)
-                lines, dups, repeats = [], [], []
-                for text in step.column(1).cast(pa.binary()).to_pylist():
-                    full = [x for x in text.split(b"\n") if x.strip()]
-                    lines.append(len(full))
-                    dups.append(len(full) - len(set(full)))
-                    repeats.append(repeat_words(text.split()))
-                letters = ~blank & (data & 0xC0 != 0x80)
-                found = [np.diff(words_at), sums(letters, bounds), sums(SYMBOLS[data], bounds), dups, repeats, lines, sums(UPPER[data], bounds), sums(MARKS[data], bounds)]
-                yield pa.RecordBatch.from_arrays([step.column(0), step.column(2), *(pa.array(x, pa.int64()) for x in found)], ["doc_id", "stratum", *COUNTS])
+                yield pa.RecordBatch.from_arrays([step.column(0), step.column(2), *(pa.array(x, pa.int64()) for x in count_texts(step.column(1)))], ["doc_id", "stratum", *COUNTS])
 
     return rows.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, license_scan, line_dedup, packing, quality_rules, simhash, substring_dedup
+from . import ann, byte_bpe, license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_classifier.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,8 +55,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offending spans as text: start-stop in characters, comma-joined."""
+    found = toxicity.tag(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["stop"])), ","))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_line_dedup, op4_license_scan, op6_packing, op7_ann, op8_byte_bpe, op9_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_line_dedup, op4_license_scan, op5_quality_classifier, op6_packing, op7_ann, op8_byte_bpe, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -63,11 +63,19 @@ def powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _kept[name][:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; equal words have equal hashes wherever they stand."""
+def hash_prefix(data: np.ndarray) -> np.ndarray:
+    """Sums of (byte + 1) * BASE^place before each place."""
+    prefix = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers("up", BASE, len(data)), out=prefix[1:])
+    return prefix
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; equal words have equal hashes wherever they stand. prefix: hash_prefix(data), if it's there already."""
+    if prefix is None:
+        prefix = hash_prefix(data)
+    with np.errstate(over="ignore"):
         value = (prefix[ends] - prefix[starts]) * powers("down", BASE_INVERSE, len(data) + 1)[starts]
         return mix(value ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
