@@ -32,18 +32,20 @@ NO_ID = -(1 << 63)
 
 
 def masked(line: Column) -> Column:
-    """The line's words, parted by single spaces, words that hold a digit as <*>."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " ")), WITH_DIGIT, MASK)
+    """The line's words, parted by single spaces, words that hold a digit as <*>. Replacing is slow, so lines without anything to replace are only searched."""
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | line.rlike(r"[\x09-\x0D]")
+    spaced = F.when(odd, F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, WITH_DIGIT, MASK)).otherwise(spaced)
 
 
 def _lines(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """d, r (hash of the text), i, masked, leaf of each line of min_words words or more."""
     text = F.col(text_col).cast("string")
-    rows = docs.where(text.isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("r"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    rows = rows.select("d", "r", "i", masked(F.col("line")).alias("masked"))
+    rows = docs.where(text.isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("r"), F.posexplode(F.transform(F.split(text, "\n"), masked)).alias("i", "masked"))  # masked before they are rows: what reads it later doesn't compute it again
     # Blanks are single by now, so that words are blanks and one.
-    rows = rows.withColumn("n", F.length("masked") - F.length(F.translate("masked", " ", "")) + 1).where(F.col("n") >= min_words)
-    return rows.withColumn("leaf", F.md5(F.concat_ws(" ", "n", F.substring_index("masked", " ", LEAD)).cast("binary")))
+    rows = rows.withColumn("n", F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
+    # A leaf's number may, by chance, stand for two leaves: that only spoils a template. Lines are told apart by an MD5 of their own.
+    return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", LEAD)))
 
 
 def templates(cand: DataFrame, min_fixed: float) -> DataFrame:
@@ -60,12 +62,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, min_words: int = 3, min_fi
     """d, r, i of each line that is dropped."""
     lines = _lines(docs, min_words, id_col, text_col)
     leaves = stored(lines.groupBy("leaf").agg(F.count_distinct("d").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "leaves")
-    cand = stored(lines.join(leaves, "leaf").select("leaf", "d", "r", "i", "masked", F.md5(F.col("masked").cast("binary")).alias("own")), "candidates")
+    cand = stored(lines.join(leaves, "leaf").select("leaf", "d", "r", "i", "masked", F.unhex(F.md5(F.col("masked").cast("binary"))).alias("own")), "candidates")
     kinds = stored(cand.groupBy("leaf", "own").agg(F.count("*").alias("times"), F.min("masked").alias("masked")), "kinds")
     trees = stored(templates(kinds, min_fixed), "templates")
     agree = F.aggregate(F.zip_with(F.split("masked", " "), "template", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     member = stored(kinds.join(trees, "leaf").where(agree >= similarity * F.col("fixed")).select("own", F.col("leaf").alias("of")), "members")
-    named = stored(cand.select("d", "r", "i", "own").join(member, "own", "left").select("d", "r", "i", F.coalesce("of", "own").alias("template")), "named")
+    named = stored(cand.select("d", "r", "i", "own").join(member, "own", "left").select("d", "r", "i", F.coalesce(F.unhex(F.hex("of")), "own").alias("template")), "named")
     recurring = named.groupBy("template").agg(F.count_distinct("d").alias("docs"), F.min(F.struct("d", "i", "r")).alias("first"))
     recurring = stored(recurring.where(F.col("docs") >= min_docs).select("template", "first"), "recurring")
     return named.join(recurring, "template").where(F.struct("d", "i", "r") != F.col("first")).select("d", "r", "i")
@@ -89,7 +91,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 3, min_words: int = 3, min_fixed
     # The text is split once, as the only element of an outer list.
     cut = F.element_at(F.transform(F.array(F.split(text, "\n")), without), 1)
     out = both.withColumn(out_col, F.when(F.col("_gone").isNull(), text).otherwise(cut))
-    n = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+    n = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return out.withColumns({f"{out_col}_lines": F.coalesce(n, F.lit(0)).cast("long"), f"{out_col}_dropped": F.greatest(F.size("_gone"), F.lit(0)).cast("long")}).drop("_own_d", "_own_r", "_d", "_r", "_gone")
 
 
