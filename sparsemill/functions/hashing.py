@@ -130,7 +130,8 @@ def token_hash(tokens: Column, seed: int) -> Column:
         ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.append(np.asarray(lists.is_null()), False))
         return pa.ListArray.from_arrays(ends, hashed)
 
-    return run(tokens)
+    # Not deterministic, as far as the optimizer knows: else filters that it infers from later steps would repeat the hashing.
+    return run.asNondeterministic()(tokens)
 
 
 def _low_product(x: Column, c: int) -> Column:

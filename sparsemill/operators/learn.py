@@ -123,7 +123,7 @@ def many_models(features: DataFrame, spec: ModelSpec, model: str = "model_id", *
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * out.num_rows, pa.string()), *out.columns], [model, *NAMES])
 
     rows = features.select(F.col(model).cast("string").alias(model), "example_num", "label", "importance", "lr", "ffm")
-    return rows.groupBy(model).applyInArrow(lambda key, table: pa.Table.from_batches(run(key, iter(table.to_batches()))), f"{model} string, {FOLD}")
+    return rows.groupBy(model).applyInArrow(lambda key, table: pa.Table.from_batches(list(run(key, iter(table.to_batches())))), f"{model} string, {FOLD}")
 
 
 def averaged(features: DataFrame, spec: ModelSpec, parts: int = 16) -> DataFrame:
