@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Buckets, decimals of the bounds, every how manieth weight the mean takes, the mean that means trouble.
 BUCKETS, DECIMALS, MEAN_EVERY, SKEWED = 65025, 4, 10, 10.0
@@ -20,7 +21,7 @@ def statistics(weights: DataFrame) -> DataFrame:
     return out.withColumn("skewed", F.abs("mean_w") > SKEWED)
 
 
-@F.pandas_udf("float")
+@F.pandas_udf(T.FloatType())
 def half(x: pd.Series) -> pd.Series:
     """Rounded to half precision."""
     with np.errstate(over="ignore"):

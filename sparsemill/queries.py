@@ -106,12 +106,11 @@ def linear_rows(spark: SparkSession, sf_dir: str, args: str, with_flags: bool =
 
 # Text and hashing
 
-LABELS = F.when(F.col("ex") % 3 == 0, "1 ").when(F.col("ex") % 3 == 1, "-1 ").otherwise("")
-
 
 def label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """-1 stands for no label."""
-    return lines(spark, sf_dir, F.concat(LABELS, F.lit("|A "), "a")).select(F.col("example_num").alias("ex"), F.coalesce("label", F.lit(-1)).alias("label"))
+    given = F.when(F.col("ex") % 3 == 0, "1 ").when(F.col("ex") % 3 == 1, "-1 ").otherwise("")
+    return lines(spark, sf_dir, F.concat(given, F.lit("|A "), "a")).select(F.col("example_num").alias("ex"), F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def importance_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
