@@ -211,14 +211,13 @@ def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scorer = learn(rows, stored(count_all(rows), "counts"), sample)
 
-    @F.pandas_udf("double")
-    def score(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         if scorer is None:
-            return pd.Series(np.ones(len(texts)))
-        batch = pa.RecordBatch.from_arrays([pa.array(texts.fillna("").tolist(), pa.string())], ["text"])
-        out = [scorer.score(s.column(0), dict(zip(COUNTS, count_texts(s.column(0)), strict=True))) for s in steps(batch)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+            return pa.array(np.ones(len(texts)))
+        out = [np.zeros(0)]
+        for part in steps(pa.RecordBatch.from_arrays([texts], ["text"])):
+            out.append(scorer.score(part.column(0), dict(zip(COUNTS, count_texts(part.column(0)), strict=True))))
+        return pa.array(np.concatenate(out))
 
     return docs.withColumn(score_col, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,22 +137,26 @@ def deduplicate(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", te
     gone = (chunks_found if chunks_found is not None else repeated_chunks(docs, min_words, id_col, text_col)).where("removed")
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list(F.struct("start", "upper", "lower")).alias("_gone"))
 
-    @F.pandas_udf("text string, chunks int")
-    def without(texts, lists):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        out = []
-        for text, some in zip(texts, lists, strict=True):
-            if text is None or some is None:
-                out.append((text, 0))
+    @F.arrow_udf("struct<text:string,chunks:int>")
+    def without(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        out, chunks_ = [], []
+        flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))])
+        start, upper, lower = (flat.field(f).to_pylist() for f in ("start", "upper", "lower"))
+        for k in range(len(texts)):
+            text, own = texts[k].as_py(), slice(ends[k], ends[k + 1])
+            if text is None:
+                out.append(None)
+                chunks_.append(0)
                 continue
-            drop = {(x["start"], x["upper"], x["lower"]) for x in some}
+            drop = set(zip(start[own], upper[own], lower[own], strict=True))
             data = text.encode()
-            kept = [(a, b) for a, b, u, v in digests(data) if (a, u, v) not in drop]
-            out.append((b"".join(data[a:b] for a, b in kept).decode(), len(cuts(data)) - len(kept)))
-        return pd.DataFrame(out, columns=["text", "chunks"])
+            every = digests(data)
+            kept = [(a, b) for a, b, u, v in every if (a, u, v) not in drop]
+            out.append(b"".join(data[a:b] for a, b in kept).decode())
+            chunks_.append(len(every) - len(kept))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(chunks_, pa.int32())], ["text", "chunks"])
 
     joined = docs.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_gone_id"), "left")
-    cut = joined.withColumn("_cut", F.when(F.col("_gone").isNotNull(), without(F.col(text_col).cast("string"), F.col("_gone"))))
+    cut = joined.withColumn("_cut", without(F.when(F.col("_gone").isNotNull(), F.col(text_col).cast("string")), F.col("_gone")))
     kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.col("_cut.text"))
     return cut.withColumns({out_col: kept, f"{out_col}_chunks": F.coalesce("_cut.chunks", F.lit(0))}).drop("_gone_id", "_gone", "_cut")
