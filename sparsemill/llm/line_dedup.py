@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 LEAD = 3
 MASK = "<*>"
@@ -75,24 +75,26 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, min_words: int = 3, min_fi
 
 def drop_lines(docs: DataFrame, min_docs: int = 3, min_words: int = 3, min_fixed: float = 0.6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept_text") -> DataFrame:
     """docs with out_col (the text without dropped lines), out_col + '_lines' (lines before) and out_col + '_dropped'."""
+    own_d, own_r, d, r, dropped = fresh(docs, "own_d", "own_r", "d", "r", "gone")
     gone = dropped_lines(docs, min_docs, min_words, min_fixed, similarity, id_col, text_col)
-    gone = gone.groupBy(F.col("d").alias("_d"), F.col("r").alias("_r")).agg(F.array_sort(F.collect_set("i")).alias("_gone"))
+    gone = gone.groupBy(F.col("d").alias(d), F.col("r").alias(r)).agg(F.array_sort(F.collect_set("i")).alias(dropped))
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({"_own_d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_own_r": F.xxhash64(text)})
-    both = keyed.join(gone, (F.col("_own_d") == F.col("_d")) & (F.col("_own_r") == F.col("_r")), "left")
+    keyed = docs.withColumns({own_d: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), own_r: F.xxhash64(text)})
+    both = keyed.join(gone, (F.col(own_d) == F.col(d)) & (F.col(own_r) == F.col(r)), "left")
 
     def without(lines: Column) -> Column:
         """Stretches between dropped lines, joined: linear in lines."""
-        ends = F.concat(F.col("_gone"), F.array(F.size(lines)))
-        starts = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda x: x + 1))
+        ends = F.concat(F.col(dropped), F.array(F.size(lines)))
+        starts = F.concat(F.array(F.lit(0)), F.transform(dropped, lambda x: x + 1))
         kept = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.slice(lines, x["a"] + 1, x["b"] - x["a"]))
         return F.array_join(F.flatten(kept), "\n")
 
     # The text is split once, as the only element of an outer list.
     cut = F.element_at(F.transform(F.array(F.split(text, "\n")), without), 1)
-    out = both.withColumn(out_col, F.when(F.col("_gone").isNull(), text).otherwise(cut))
+    kept_text = F.when(F.col(dropped).isNull(), text).otherwise(cut)
     n = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return out.withColumns({f"{out_col}_lines": F.coalesce(n, F.lit(0)).cast("long"), f"{out_col}_dropped": F.greatest(F.size("_gone"), F.lit(0)).cast("long")}).drop("_own_d", "_own_r", "_d", "_r", "_gone")
+    n_dropped = F.greatest(F.size(dropped), F.lit(0)).cast("long")
+    return both.select(*docs.columns, kept_text.alias(out_col), F.coalesce(n, F.lit(0)).cast("long").alias(f"{out_col}_lines"), n_dropped.alias(f"{out_col}_dropped"))
 
 
 def oracle(min_docs: int = 3, min_words: int = 3, min_fixed: float = 0.6, similarity: float = 0.8) -> str:

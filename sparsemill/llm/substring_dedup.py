@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, steps, stored
+from .common import fresh, id_text, steps, stored
 
 SHORTEST, LONGEST = 16, 1000
 #: A blank is a cut if this many top bits of the hash are zero.
@@ -135,7 +135,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 16, id_col: str = "doc_i
 def deduplicate(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text", out_col: str = "deduplicated", chunks_found: DataFrame | None = None) -> DataFrame:
     """docs with out_col: the text without passages that stand earlier, and out_col + '_chunks': how many chunks went. A null text stays null."""
     gone = (chunks_found if chunks_found is not None else repeated_chunks(docs, min_words, id_col, text_col)).where("removed")
-    gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list(F.struct("start", "upper", "lower")).alias("_gone"))
+    gone_id, dropped, cut = fresh(docs, "gone_id", "gone", "cut")
+    gone = gone.groupBy(F.col("doc_id").alias(gone_id)).agg(F.collect_list(F.struct("start", "upper", "lower")).alias(dropped))
 
     @F.arrow_udf("struct<text:string,chunks:int>")
     def without(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -156,7 +157,8 @@ def deduplicate(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", te
             chunks_.append(len(every) - len(kept))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(chunks_, pa.int32())], ["text", "chunks"])
 
-    joined = docs.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_gone_id"), "left")
-    cut = joined.withColumn("_cut", without(F.when(F.col("_gone").isNotNull(), F.col(text_col).cast("string")), F.col("_gone")))
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.col("_cut.text"))
-    return cut.withColumns({out_col: kept, f"{out_col}_chunks": F.coalesce("_cut.chunks", F.lit(0))}).drop("_gone_id", "_gone", "_cut")
+    joined = docs.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(gone_id), "left")
+    # Only texts that lose something go through Python.
+    done = joined.withColumn(cut, without(F.when(F.col(dropped).isNotNull(), F.col(text_col).cast("string")), F.col(dropped)))
+    kept = F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(F.col(f"{cut}.text"))
+    return done.select(*docs.columns, kept.alias(out_col), F.coalesce(f"{cut}.chunks", F.lit(0)).alias(f"{out_col}_chunks"))
