@@ -117,8 +117,8 @@ def repeated_chunks(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id"
     found = places.join(first, ["upper", "lower"]).select("doc_id", start.alias("start"), (start + F.shiftright("place", 10).bitwiseAND(1023)).alias("stop"), F.col("place").bitwiseAND(1023).alias("words"), "upper", "lower", "first_id", ((F.col("doc_id") != F.col("first_id")) | (F.col("place") != F.col("first_place"))).alias("removed"))
     order = Window.partitionBy("doc_id").orderBy("start", "stop", "upper", "lower")
     new = F.coalesce((F.lag("stop").over(order) != F.col("start")) | (F.lag("removed").over(order) != F.col("removed")), F.lit(True))
-    # Rows that repeat an id and a text give a place twice.
-    numbered = found.distinct().withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
+    # Rows that repeat an id and a text give a place twice. Dealt by document first: else the rows of a digest would have to stay together, and a hot one couldn't be split.
+    numbered = found.repartition("doc_id").distinct().withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
     whole = Window.partitionBy("doc_id", "run")
     long_enough = numbered.withColumn("run_words", F.sum("words").over(whole)).withColumn("run_start", F.min("start").over(whole))
     return long_enough.where(F.col("run_words") >= min_words).drop("new", "run", "run_words")
