@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import replace
+from math import exp, frexp
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,7 @@ def _prediction_batch(numbers: list, values: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(["prediction"] * n, pa.string()), pa.array(numbers, pa.int64()), pa.array(values, pa.float64()), nothing(pa.string()), nothing(pa.int64()), nothing(pa.float32()), nothing(pa.float32())], NAMES)
 
 
-def _weight_batches(learner: Learner) -> Iterator[pa.RecordBatch]:
+def _weight_batches(learner: Learner | LinearFold) -> Iterator[pa.RecordBatch]:
     for block, idx, w, acc in learner.weights():
         for at in range(0, len(idx), 1 << 16):
             x = slice(at, at + (1 << 16))
@@ -54,6 +56,94 @@ def _weight_batches(learner: Learner) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(["weight"] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array([block] * n, pa.string()), pa.array(idx[x].astype(np.int64)), pa.array(w[x]), pa.array(acc[x])], NAMES)
 
 
+class LinearFold:
+    """The fold of a model of linear weights alone, in plain Python over the touched weights: several times as fast as arrays for examples of a few features. Doubles, where the arrays have single precision."""
+
+    def __init__(self, spec: ModelSpec):
+        self.spec = spec
+        self.opt = Learner(replace(spec, bit_precision=1, ffm_k=0, fields=[])).lr_opt
+        self.w: dict[int, float] = {}
+        self.acc: dict[int, float] = {}
+        self.table = self.opt.table.tolist() if spec.optimizer == "adagrad_lut" else None
+
+    def load(self, block: str, idx: np.ndarray, w: np.ndarray, acc: np.ndarray | None) -> None:
+        if block != "lr" or len(idx) and (idx.max() >= 1 << self.spec.bit_precision or idx.min() < 0):
+            raise ValueError(f"the model has no weights {block}, or not as many")
+        self.w.update(zip(idx.tolist(), w.astype(float).tolist(), strict=True))
+        if acc is not None:
+            self.acc.update(zip(idx.tolist(), acc.astype(float).tolist(), strict=True))
+
+    def weights(self) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        idx = np.array(sorted({*self.w, *self.acc}), np.int64)
+        get = lambda d, z: np.array([d.get(i, z) for i in idx.tolist()], np.float32)
+        return [("lr", idx, get(self.w, 0.0), get(self.acc, float(self.opt.start)))]
+
+    def total(self, hashes: list, values: list) -> float:
+        get = self.w.get
+        t = 0.0
+        for h, v in zip(hashes, values, strict=True):
+            t += get(h, 0.0) * v
+        return t
+
+    def update(self, hashes: list, values: list, g: float) -> None:
+        w, acc, opt = self.w, self.acc, self.opt
+        get, rate = w.get, float(opt.rate)
+        if opt.kind == "sgd":
+            g *= rate
+            for h, v in zip(hashes, values, strict=True):
+                w[h] = get(h, 0.0) - g * v
+            return
+        start, power, table = float(opt.start), float(opt.power), self.table
+        lut = table is not None
+        for h, v in zip(hashes, values, strict=True):
+            gv = g * v
+            a = acc.get(h, start) + gv * gv
+            acc[h] = a
+            if lut:
+                m, e = frexp(a)  # a single's leading bits: exponent, and three of the fraction
+                step = table[e + 126 << 3 | int(16.0 * m) - 8 if e > -126 else 0]
+            else:
+                step = rate * a**power if a > 0 else 0.0
+            w[h] = get(h, 0.0) - gv * step
+
+    def fold(self, batches: Iterator[pa.RecordBatch], testonly: bool = False, predictions_after: int = 0, holdout_after: int | None = None, delay: int = 0, emit_weights: bool = True) -> Iterator[pa.RecordBatch]:
+        waiting: deque[tuple] = deque()
+
+        def learned(hashes: list, values: list, label: int | None, importance: float, t: float, p: float) -> None:
+            if label is not None and importance and t == t and abs(t) <= 50.0:
+                self.update(hashes, values, (p - label) * importance)
+
+        def probability(t: float) -> float:
+            return 0.5 if t != t else 1.0 / (1.0 + exp(-min(50.0, max(-50.0, t))))
+
+        for batch in batches:
+            get = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+            column = get("lr")
+            flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(np.where(np.asarray(column.is_null()), 0, np.diff(np.asarray(column.offsets))))]).tolist()
+            h, v = flat.field("hash").to_pylist(), flat.field("value").to_pylist()
+            numbers, out = [], []
+            for k, (number, label, importance) in enumerate(zip(get("example_num").to_pylist(), get("label").to_pylist(), get("importance").to_pylist(), strict=True)):
+                own = h[ends[k] : ends[k + 1]], v[ends[k] : ends[k + 1]]
+                importance = 1.0 if importance is None else importance
+                t = self.total(*own)
+                p = probability(t)
+                if delay and not testonly:
+                    waiting.append((*own, label, importance))
+                    if len(waiting) > delay:
+                        old = waiting.popleft()
+                        t = self.total(*old[:2])
+                        learned(*old, t, probability(t))
+                elif not testonly and (holdout_after is None or number < holdout_after):
+                    learned(*own, label, importance, t, p)
+                if number > predictions_after:
+                    numbers.append(number)
+                    out.append(p)
+            if numbers:
+                yield _prediction_batch(numbers, out)
+        if emit_weights and not testonly:
+            yield from _weight_batches(self)
+
+
 def fold(learner: Learner, batches: Iterator[pa.RecordBatch], testonly: bool = False, predictions_after: int = 0, holdout_after: int | None = None, delay: int = 0, emit_weights: bool = True) -> Iterator[pa.RecordBatch]:
     """Predictions of examples in the order they come, each before the model learns it, then the weights.
 
@@ -83,6 +173,10 @@ def fold(learner: Learner, batches: Iterator[pa.RecordBatch], testonly: bool = F
         yield from _weight_batches(learner)
 
 
+def folder(spec: ModelSpec) -> Learner | LinearFold:
+    return Learner(spec) if spec.ffm_k or spec.layers else LinearFold(spec)
+
+
 def sequential(features: DataFrame, spec: ModelSpec, start: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:  # noqa: ANN003
     """predictions (example_num, prediction) and weights (block, idx, w, acc) of a model that learns examples in the order of example_num.
 
@@ -94,10 +188,10 @@ def sequential(features: DataFrame, spec: ModelSpec, start: DataFrame | None = N
     loaded = _local_weights(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(spec)
+        learner = folder(spec)
         for block, idx, w, acc in loaded:
             learner.load(block, idx, w, acc)
-        yield from fold(learner, batches, **options)
+        yield from learner.fold(batches, **options) if isinstance(learner, LinearFold) else fold(learner, batches, **options)
 
     rows = features.select("example_num", "label", "importance", "lr", "ffm").repartition(1).sortWithinPartitions("example_num")
     return split(stored(rows.mapInArrow(run, FOLD), "fold"))
@@ -119,7 +213,8 @@ def many_models(features: DataFrame, spec: ModelSpec, model: str = "model_id", *
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by("example_num").combine_chunks()
-        for out in fold(Learner(spec), iter(table.to_batches(max_chunksize=1 << 14)), **options):
+        learner, parts = folder(spec), iter(table.to_batches(max_chunksize=1 << 14))
+        for out in learner.fold(parts, **options) if isinstance(learner, LinearFold) else fold(learner, parts, **options):
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * out.num_rows, pa.string()), *out.columns], [model, *NAMES])
 
     rows = features.select(F.col(model).cast("string").alias(model), "example_num", "label", "importance", "lr", "ffm")
@@ -208,6 +303,38 @@ def minibatch(features: DataFrame, spec: ModelSpec, batches: int = 1, epochs: in
     return lr, ffm
 
 
+def batch_predictions(learner: Learner, batch: pa.RecordBatch) -> np.ndarray:
+    """Predictions of a batch's examples at once, by linear and field weights."""
+
+    def lists(name: str, third: str) -> tuple:
+        column = batch.column(batch.schema.get_field_index(name))
+        size = np.where(np.asarray(column.is_null()), 0, np.diff(np.asarray(column.offsets)))
+        flat = column.flatten()
+        return np.repeat(np.arange(len(size)), size), *(np.asarray(flat.field(f)) for f in ("hash", "value", third))
+
+    n = batch.num_rows
+    row, h, v, _ = lists("lr", "combo")
+    total = np.bincount(row, learner.w[h] * v, n)
+    if learner.k:
+        row, h, v, f = lists("ffm", "field")
+        size = learner.F * learner.k
+        for at in range(0, n, 1024):  # in parts: field vectors are wide
+            own = slice(*np.searchsorted(row, [at, at + 1024]))
+            m = min(1024, n - at)
+            w = learner.fw[h[own, None] + np.arange(size)] * v[own, None]
+            group = (row[own] - at) * learner.F + f[own]
+            order = np.argsort(group, kind="stable")
+            c = np.zeros((m * learner.F, size), np.float32)
+            if len(order):
+                heads = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+                c[group[order][heads]] = np.add.reduceat(w[order], heads, axis=0)
+            c = c.reshape(m, learner.F, learner.F, learner.k)
+            mine = w.reshape(-1, learner.F, learner.k)[np.arange(len(group)), f[own]]
+            total[at : at + m] += 0.5 * np.einsum("efzj,ezfj->e", c, c) - 0.5 * np.bincount(row[own] - at, (mine * mine).sum(axis=1), m)
+    t = np.clip(np.nan_to_num(total, nan=0.0), -50, 50)
+    return 1 / (1 + np.exp(-t))
+
+
 def score_local(features: DataFrame, spec: ModelSpec, weights: DataFrame, **keep) -> DataFrame:  # noqa: ANN003
     """example_num, prediction by a whole model (nets too) in every task. The model is bounded by its options, not by the data."""
     loaded = _local_weights(weights)
@@ -217,7 +344,7 @@ def score_local(features: DataFrame, spec: ModelSpec, weights: DataFrame, **keep
         for block, idx, w, _ in loaded:
             learner.load(block, idx, w, None)
         for batch in batches:
-            found = [(e.number, learner.predict(e)) for e in examples_of(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64())], ["example_num", "prediction"])
+            predictions = np.array([learner.predict(e) for e in examples_of(batch)]) if spec.layers else batch_predictions(learner, batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predictions, pa.float64())], ["example_num", "prediction"])
 
     return features.select("example_num", "label", "importance", "lr", "ffm").mapInArrow(run, "example_num long, prediction double")
