@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import token_hash
@@ -30,23 +30,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """example_num (from 1, in the order of the file), line. Plain (.vw), gzip and zstandard files are told by their ending."""
     if not path.endswith(EXTENSIONS):
         raise ValueError(f"Please specify a valid input format ({', '.join(EXTENSIONS)}): {os.path.basename(path)}")
-    rows = spark.read.text(path).withColumnRenamed("value", "line")
-    return numbered(rows.withColumn("_at", F.monotonically_increasing_id()), "_at").drop("_at")
-
-
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """rows with example_num, from 1 in the given order, without gathering them: counts of range partitions are added up."""
-    parted = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
-    parted = parted.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = {r._part: r.n for r in parted.groupBy("_part").agg(F.max("_place").alias("n")).collect()}  # a row for each partition
-    before, total = [], 0
-    for part in sorted(counts):
-        before.append((part, total))
-        total += counts[part] + 1
-    first = F.broadcast(rows.sparkSession.createDataFrame(before, "_part long, _first long")) if before else None
-    if first is None:
-        return parted.withColumn("example_num", F.lit(0).cast("long")).drop("_id", "_part", "_place")
-    return parted.join(first, "_part").withColumn("example_num", F.col("_first") + F.col("_place") + 1).drop("_id", "_part", "_place", "_first")
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    # Lines of a block have consecutive ids. Blocks, a row for each, are put in order and their sizes added up.
+    blocks = rows.groupBy("_path", "_start").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
+    order = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("_path", "_start", "_first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_before"))
+    return rows.join(before, ["_path", "_start"]).select((F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("example_num"), "line")
 
 
 def try_float(text: Column) -> Column:
