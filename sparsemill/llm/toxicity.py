@@ -41,7 +41,7 @@ BUCKET_BITS = 20
 #: Bytes of a word's beginnings that are features beside the whole word.
 BEGINNINGS = (3, 4, 5, 6, 8)
 FEATURES = len(BEGINNINGS) + 1
-PER_CLASS = 2000
+PER_CLASS = 1500
 #: Folds by crc32 of the id; one of them is never learned from.
 FOLDS, HELD_OUT = 4, 2
 #: Exponents are kept within this.
@@ -130,10 +130,13 @@ def emissions(field: Field, buckets: np.ndarray) -> np.ndarray:
 def token_labels(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, least_ratio: float = 8.0, least_g: float = 25.0) -> np.ndarray:
     """1 for tokens of toxic texts with a feature that marks toxic texts."""
     text = np.repeat(np.arange(len(toxic)), np.diff(at))
-    pairs = np.unique((text[:, None] << BUCKET_BITS | buckets).ravel())
-    own = toxic[pairs >> BUCKET_BITS].astype(bool)
-    word = pairs & (1 << BUCKET_BITS) - 1
-    n1, n0 = (np.bincount(word[x], minlength=1 << BUCKET_BITS).astype(float) for x in (own, ~own))
+    n1, n0 = np.zeros(1 << BUCKET_BITS, np.int32), np.zeros(1 << BUCKET_BITS, np.int32)
+    for f in range(FEATURES):  # one at a time, for the driver's memory; each kind of feature has buckets of its own but for chance
+        pairs = np.unique(text << BUCKET_BITS | buckets[:, f])
+        own = toxic[pairs >> BUCKET_BITS] == 1
+        word = pairs & (1 << BUCKET_BITS) - 1
+        for n, x in ((n1, own), (n0, ~own)):
+            n += np.bincount(word[x], minlength=1 << BUCKET_BITS).astype(np.int32)
     all1, all0 = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
     q = all1 / (all1 + all0)
     n = np.maximum(n1 + n0, 1)
@@ -190,6 +193,11 @@ def _summary(one: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _summarized(field: Field, buckets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """_summary of some neighbouring texts."""
+    return _summary(forward_backward(emissions(field, buckets[at[0] : at[-1]]), at - at[0], field.start, field.steps)[0], at - at[0])
+
+
 def fit(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, shares: tuple[float, float], epochs: int = 12, l2: float = 1e-3, rate: float = 0.5) -> Field:
     """A field of texts and their labels. shares: how many documents a sampled one of label 0 and 1 stands for."""
     labels = token_labels(buckets, at, toxic)
@@ -215,7 +223,7 @@ def fit(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, shares: tuple[fl
             move = 0.3 * whole / np.sqrt(seen)
             field.start += move[0]
             field.steps += move[1:]
-    x = _summary(forward_backward(emissions(field, buckets), at, field.start, field.steps)[0], at)
+    x = np.concatenate([np.zeros((0, 3)), *(_summarized(field, buckets, at[i : i + 251]) for i in range(0, len(toxic), 250))])
     weight = np.where(toxic == 1, shares[1], shares[0])
     weight = weight / weight.mean()
     for _ in range(50):  # Newton's method
@@ -255,6 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fie
     some = distinct_texts(buckets, at)
     take, at = choose(at, some)
     buckets, toxic = buckets[take], toxic[some]
+    del found, lists, take
     if len(set(toxic.tolist())) < 2:
         return None
     share = tuple(size[y] / max(1, int((toxic == y).sum())) for y in (0, 1))
