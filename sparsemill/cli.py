@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .operators.features import featurize
 from .operators.learn import averaged, score_local, sequential
 from .plans.spec import ModelSpec, SpecError, from_options, parser
-from .sources import cache, model_store
+from .sources import cache, model_store, vector
 from .sources.catalog import Catalog
+from .sources.text import read_lines
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -47,13 +48,18 @@ def run(spark: SparkSession, args: Sequence[str]) -> DataFrame | None:
         spec, start = model_store.load(spark, o.initial_regressor, o.testonly, learning_rate=o.learning_rate, power_t=o.power_t)
     else:
         spec = from_options(o, Catalog.read(os.path.dirname(o.data) or "."))
-    examples = cache.examples(spark, o.data, spec.catalog, o.cache or o.build_cache_without_training)
+    cached = o.cache or o.build_cache_without_training
+    if cached or spec.transforms:
+        examples = cache.examples(spark, o.data, spec.catalog, cached)
+    else:
+        examples = vector.featurize(read_lines(spark, o.data), spec)
     if o.build_cache_without_training:
         return None
     broken = examples.where("error is not null").select("error").first()
     if broken is not None:
         raise ValueError(broken.error)
-    features = featurize(examples.where("command is null"), spec)
+    rows = examples.where("command is null")
+    features = featurize(rows, spec) if cached or spec.transforms else rows
     shown = F.col("example_num") > (o.predictions_after or 0)
     if o.testonly:
         weights = start

@@ -87,18 +87,12 @@ def transform_seeds(index: int) -> list[int]:
     return [murmur3(b, index ^ 1 << 31) for b in SEED_BYTES]
 
 
-def murmur3_array(tokens: pa.Array, seeds: np.ndarray | int) -> np.ndarray:
-    """murmur3 of each string of an Arrow array (nulls as empty), with a seed for all or for each; unsigned."""
-    n = len(tokens)
+def murmur3_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: np.ndarray | int) -> np.ndarray:
+    """murmur3 of each span of some bytes, with a seed for all or for each; unsigned."""
+    n, size = len(starts), ends - starts
     if n == 0:
         return np.zeros(0, np.uint32)
-    tokens = tokens.cast(pa.large_binary())
-    ends = np.frombuffer(tokens.buffers()[1], np.int64, n + 1, tokens.offset * 8)
-    raw = tokens.buffers()[2]
-    data = np.zeros(int(ends[-1]) + 8, np.uint8)
-    if raw is not None and ends[-1]:
-        data[: ends[-1]] = np.frombuffer(raw, np.uint8, int(ends[-1]))
-    starts, size = ends[:-1], np.diff(ends)
+    data = np.append(data, np.zeros(8, np.uint8))
     h = np.broadcast_to(np.asarray(seeds, np.uint32), n).copy()
     word = lambda at: data[at].astype(np.uint32) | data[at + 1].astype(np.uint32) << np.uint32(8) | data[at + 2].astype(np.uint32) << np.uint32(16) | data[at + 3].astype(np.uint32) << np.uint32(24)
     rotl = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
@@ -117,6 +111,18 @@ def murmur3_array(tokens: pa.Array, seeds: np.ndarray | int) -> np.ndarray:
     return h ^ h >> np.uint32(16)
 
 
+def murmur3_array(tokens: pa.Array, seeds: np.ndarray | int) -> np.ndarray:
+    """murmur3 of each string of an Arrow array (nulls as empty), with a seed for all or for each; unsigned."""
+    n = len(tokens)
+    if n == 0:
+        return np.zeros(0, np.uint32)
+    tokens = tokens.cast(pa.large_binary())
+    ends = np.frombuffer(tokens.buffers()[1], np.int64, n + 1, tokens.offset * 8)
+    raw = tokens.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[: ends[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return murmur3_spans(data, ends[:-1], ends[1:], seeds)
+
+
 def token_hash(tokens: Column, seed: int) -> Column:
     """31-bit hashes of an array of strings, as an array of longs, by an Arrow function over whole batches."""
 

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import Catalog
-from .text import parse, read_lines
+from .text import read_lines
+from .vector import parse
 
 VERSION = 1
 

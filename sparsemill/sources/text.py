@@ -40,7 +40,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def try_float(text: Column) -> Column:
     """A float; NaN for NONE, null if it can't be read."""
-    return F.when(text == "NONE", F.lit(float("nan"))).otherwise(text.try_cast("float")).cast("float")
+    java = text.rlike("[0-9.][fFdD]$")  # a spelling of Java's alone
+    return F.when(text == "NONE", F.lit(float("nan"))).when(~java, text.try_cast("float")).cast("float")
 
 
 def label(line: Column) -> Column:
@@ -50,7 +51,7 @@ def label(line: Column) -> Column:
 
 def importance_text(line: Column) -> Column:
     """What stands between a label and the first namespace, null if nothing does."""
-    return F.when(line.startswith("|"), None).otherwise(F.nullif(F.regexp_extract(line, r"^[^ ]+ +([^ |][^ ]*)", 1), F.lit("")))
+    return F.when(line.startswith("1") | line.startswith("-"), F.nullif(F.regexp_extract(line, r"^[^ ]+ +([^ |][^ ]*)", 1), F.lit("")))
 
 
 def command(line: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparsemill.operators.features import featurize
 from sparsemill.plans.dsl import DslError, resolve
 from sparsemill.plans.spec import ModelSpec, SpecError, from_args
-from sparsemill.sources import local
+from sparsemill.sources import local, vector
 from sparsemill.sources.catalog import Catalog
 from sparsemill.sources.text import parse
 
@@ -79,6 +79,18 @@ def test_lines_and_features(spark):
         assert [(x.hash, x.field) for x in feats[i].ffm] == list(zip(e.ffm_hashes.tolist(), e.ffm_fields.tolist(), strict=True)), line
 
 
+def test_batches_are_read_as_columns_are(spark):
+    more = [f"1 {k / 4} |A a{k} b:{k} |B {k}.5 |D x y|z |C -1e{k} +3" for k in range(20)] + ["", " ", "1 |A a:1e999 |B inf", "-1 1e-3 |D d:-2.5e1", "| |A x", "1|A a", "1 |A a:b:c", "1 |B 1_0", "1 |A a:1f", "1 |B 2d"]
+    df = spark.createDataFrame(list(enumerate([*LINES, *more])), "example_num long, line string").repartition(3)
+    show = lambda rows: sorted(str(r) for r in rows)
+    for a, b in zip(show(parse(df, CATALOG).collect()), show(vector.parse(df, CATALOG).collect()), strict=True):
+        assert a == b
+    spec = from_args("--keep A --interactions ADB:2 --keep D:1.5 --linear featureE,featureA --ffm_k 3 --ffm_field AD --ffm_field B", CATALOG)
+    want = featurize(parse(df, CATALOG), spec)
+    got = vector.featurize(df, spec).select(*want.columns)
+    assert show(got.collect()) == show(want.collect())
+
+
 def test_interpolated_emissions():
     seed = 5
     both = local._emit_float(seed, 5.4, True)
