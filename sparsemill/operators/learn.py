@@ -57,61 +57,73 @@ def _weight_batches(learner: Learner | LinearFold) -> Iterator[pa.RecordBatch]:
 
 
 class LinearFold:
-    """The fold of a model of linear weights alone, in plain Python over the touched weights: several times as fast as arrays for examples of a few features. Doubles, where the arrays have single precision."""
+    """The fold of a model of linear weights alone, in plain Python over the touched weights: several times as fast as arrays for examples of a few features. Doubles, where the arrays have single precision. Beyond LIMIT touched weights the arrays take over."""
+
+    LIMIT = 4_000_000
 
     def __init__(self, spec: ModelSpec):
         self.spec = spec
         self.opt = Learner(replace(spec, bit_precision=1, ffm_k=0, fields=[])).lr_opt
-        self.w: dict[int, float] = {}
-        self.acc: dict[int, float] = {}
+        self.start = float(self.opt.start)
+        self.cells: dict[int, list[float]] = {}  # weight, accumulator
         self.table = self.opt.table.tolist() if spec.optimizer == "adagrad_lut" else None
+        # A rate that doesn't depend on the accumulator, as for plain steps and the power zero.
+        self.constant = float(self.opt.rate) if spec.optimizer == "sgd" or float(self.opt.power) == 0.0 else None
 
     def load(self, block: str, idx: np.ndarray, w: np.ndarray, acc: np.ndarray | None) -> None:
         if block != "lr" or len(idx) and (idx.max() >= 1 << self.spec.bit_precision or idx.min() < 0):
             raise ValueError(f"the model has no weights {block}, or not as many")
-        self.w.update(zip(idx.tolist(), w.astype(float).tolist(), strict=True))
-        if acc is not None:
-            self.acc.update(zip(idx.tolist(), acc.astype(float).tolist(), strict=True))
+        state = [self.start] * len(idx) if acc is None else acc.astype(float).tolist()
+        self.cells.update((i, [a, b]) for i, a, b in zip(idx.tolist(), w.astype(float).tolist(), state, strict=True))
 
     def weights(self) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-        idx = np.array(sorted({*self.w, *self.acc}), np.int64)
-        get = lambda d, z: np.array([d.get(i, z) for i in idx.tolist()], np.float32)
-        return [("lr", idx, get(self.w, 0.0), get(self.acc, float(self.opt.start)))]
-
-    def total(self, hashes: list, values: list) -> float:
-        get = self.w.get
+        idx = np.array(sorted(i for i, c in self.cells.items() if c[0] != 0.0 or c[1] != self.start), np.int64)
+        return [("lr", idx, *(np.array([self.cells[i][k] for i in idx.tolist()], np.float32) for k in (0, 1)))]
+
+    def of(self, hashes: np.ndarray) -> list[list[float]]:
+        """The cells of a batch's features, each looked up once."""
+        distinct, at = np.unique(hashes, return_inverse=True)
+        cells, get, found = self.cells, self.cells.get, []
+        for h in distinct.tolist():
+            c = get(h)
+            if c is None:
+                c = cells[h] = [0.0, self.start]
+            found.append(c)
+        return list(map(found.__getitem__, at.tolist()))
+
+    @staticmethod
+    def total(own: list, values: list) -> float:
         t = 0.0
-        for h, v in zip(hashes, values, strict=True):
-            t += get(h, 0.0) * v
+        for c, v in zip(own, values, strict=True):
+            t += c[0] * v
         return t
 
-    def update(self, hashes: list, values: list, g: float) -> None:
-        w, acc, opt = self.w, self.acc, self.opt
-        get, rate = w.get, float(opt.rate)
-        if opt.kind == "sgd":
-            g *= rate
-            for h, v in zip(hashes, values, strict=True):
-                w[h] = get(h, 0.0) - g * v
+    def update(self, own: list, values: list, g: float) -> None:
+        kind, constant = self.opt.kind, self.constant
+        if kind == "sgd":
+            g *= constant
+            for c, v in zip(own, values, strict=True):
+                c[0] -= g * v
             return
-        start, power, table = float(opt.start), float(opt.power), self.table
-        lut = table is not None
-        for h, v in zip(hashes, values, strict=True):
+        table, rate, power = self.table, float(self.opt.rate), float(self.opt.power)
+        for c, v in zip(own, values, strict=True):
             gv = g * v
-            a = acc.get(h, start) + gv * gv
-            acc[h] = a
-            if lut:
+            a = c[1] + gv * gv
+            c[1] = a
+            if constant is not None:
+                c[0] -= gv * constant
+            elif table is not None:
                 m, e = frexp(a)  # a single's leading bits: exponent, and three of the fraction
-                step = table[e + 126 << 3 | int(16.0 * m) - 8 if e > -126 else 0]
-            else:
-                step = rate * a**power if a > 0 else 0.0
-            w[h] = get(h, 0.0) - gv * step
+                c[0] -= gv * table[e + 126 << 3 | int(16.0 * m) - 8 if e > -126 else 0]
+            elif a > 0:
+                c[0] -= gv * rate * a**power
 
     def fold(self, batches: Iterator[pa.RecordBatch], testonly: bool = False, predictions_after: int = 0, holdout_after: int | None = None, delay: int = 0, emit_weights: bool = True) -> Iterator[pa.RecordBatch]:
         waiting: deque[tuple] = deque()
 
-        def learned(hashes: list, values: list, label: int | None, importance: float, t: float, p: float) -> None:
+        def learned(own: list, values: list, label: int | None, importance: float, t: float, p: float) -> None:
             if label is not None and importance and t == t and abs(t) <= 50.0:
-                self.update(hashes, values, (p - label) * importance)
+                self.update(own, values, (p - label) * importance)
 
         def probability(t: float) -> float:
             return 0.5 if t != t else 1.0 / (1.0 + exp(-min(50.0, max(-50.0, t))))
@@ -120,26 +132,33 @@ class LinearFold:
             get = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
             column = get("lr")
             flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(np.where(np.asarray(column.is_null()), 0, np.diff(np.asarray(column.offsets))))]).tolist()
-            h, v = flat.field("hash").to_pylist(), flat.field("value").to_pylist()
+            cells, v = self.of(np.asarray(flat.field("hash"))), np.asarray(flat.field("value")).tolist()
             numbers, out = [], []
             for k, (number, label, importance) in enumerate(zip(get("example_num").to_pylist(), get("label").to_pylist(), get("importance").to_pylist(), strict=True)):
-                own = h[ends[k] : ends[k + 1]], v[ends[k] : ends[k + 1]]
+                own, values = cells[ends[k] : ends[k + 1]], v[ends[k] : ends[k + 1]]
                 importance = 1.0 if importance is None else importance
-                t = self.total(*own)
+                t = self.total(own, values)
                 p = probability(t)
                 if delay and not testonly:
-                    waiting.append((*own, label, importance))
+                    waiting.append((own, values, label, importance))
                     if len(waiting) > delay:
-                        old = waiting.popleft()
-                        t = self.total(*old[:2])
-                        learned(*old, t, probability(t))
+                        own, values, label, importance = waiting.popleft()
+                        t = self.total(own, values)
+                        learned(own, values, label, importance, t, probability(t))
                 elif not testonly and (holdout_after is None or number < holdout_after):
-                    learned(*own, label, importance, t, p)
+                    learned(own, values, label, importance, t, p)
                 if number > predictions_after:
                     numbers.append(number)
                     out.append(p)
             if numbers:
                 yield _prediction_batch(numbers, out)
+            if len(self.cells) > self.LIMIT and not delay:
+                learner = Learner(self.spec)
+                for block in self.weights():
+                    learner.load(*block)
+                self.cells.clear()
+                yield from fold(learner, batches, testonly, predictions_after, holdout_after, 0, emit_weights)
+                return
         if emit_weights and not testonly:
             yield from _weight_batches(self)
 

@@ -64,6 +64,15 @@ def test_delay_holdout_after_and_warm_start(spark):
     assert [rest[i] for i in range(151, 301)] == pytest.approx([one[i] for i in range(151, 301)], abs=1e-4)
 
 
+def test_arrays_take_over_from_a_large_linear_fold(spark, monkeypatch):
+    spec, features = eaten(spark, 300, LINEAR)
+    _, want = by_hand(spec, features)
+    table = features.orderBy("example_num").select("example_num", "label", "importance", "lr", "ffm").toArrow().combine_chunks()
+    monkeypatch.setattr(learn.LinearFold, "LIMIT", 20)
+    got = [x for b in learn.LinearFold(spec).fold(iter(table.to_batches(max_chunksize=50))) for x in b.column(2).to_pylist() if x is not None]
+    assert got == pytest.approx([want[i] for i in sorted(want)], abs=2e-5)
+
+
 def test_many_models_are_each_their_own(spark):
     spec, features = eaten(spark, 200, LINEAR)
     out = learn.many_models(features.withColumn("model_id", F.col("example_num") % 3), spec)
