@@ -6,9 +6,6 @@ extra columns of any name, even clashing ones, do no harm.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,27 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that one step of a batch function holds at a time; a single longer text is a step of its own.
-STEP_BYTES = 1 << 20
-
+from ..storage import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine without it a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = getattr(spark, "_sparsemill_dir", None) or tempfile.mkdtemp(prefix="sparsemill-")
-        spark._sparsemill_dir = found
-    return found.rstrip("/")
+__all__ = ["as_bytes", "crc_mod", "frame", "fresh", "id_text", "offsets", "shared_dir", "steps", "stored"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read back from Parquet in the shared folder: cuts lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that one step of a batch function holds at a time; a single longer text is a step of its own.
+STEP_BYTES = 1 << 20
 
 
 def fresh(docs: DataFrame, *names: str) -> list[str]:

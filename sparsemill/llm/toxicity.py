@@ -42,6 +42,8 @@ BUCKET_BITS = 20
 BEGINNINGS = (3, 4, 5, 6, 8)
 FEATURES = len(BEGINNINGS) + 1
 PER_CLASS = 1500
+#: Longer texts (in characters) are scored, but not learned from: that bounds the sample in bytes too.
+LONGEST_LEARNED = 200_000
 #: Folds by crc32 of the id; one of them is never learned from.
 FOLDS, HELD_OUT = 4, 2
 #: Exponents are kept within this.
@@ -244,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fie
         return None
     some = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     sample = F.broadcast(some[0].union(some[1]))  # 2 * per_class rows at most
-    rows = id_text(docs).join(sample, "doc_id").select("doc_id", "toxic", "text")
+    rows = id_text(docs).where(F.char_length("text") <= LONGEST_LEARNED).join(sample, "doc_id").select("doc_id", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
