@@ -45,7 +45,7 @@ def run(spark: SparkSession, args: Sequence[str]) -> DataFrame | None:
         raise SpecError("No data: give --data")
     start = None
     if o.initial_regressor:
-        spec, start = model_store.load(spark, o.initial_regressor, o.testonly, learning_rate=o.learning_rate, power_t=o.power_t)
+        spec, start = model_store.load(spark, o.initial_regressor, o.testonly, **{name: getattr(o, name) for name in model_store.OVERRIDES})
     else:
         spec = from_options(o, Catalog.read(os.path.dirname(o.data) or "."))
     cached = o.cache or o.build_cache_without_training

@@ -12,8 +12,8 @@ from ..operators.weights import dequantize, quantize, to_inference
 from ..plans.spec import ModelSpec
 
 FORMAT, VERSION = "sparse-feature model", 1
-#: Options that may change when a model is loaded to learn on.
-OVERRIDES = ("learning_rate", "power_t")
+#: Options that may change when a model is loaded to learn on, and where they go. Each stands for itself: none sets another.
+OVERRIDES = {"learning_rate": ("lr", "learning_rate"), "power_t": ("lr", "power_t"), "ffm_learning_rate": ("ffm", "learning_rate"), "ffm_power_t": ("ffm", "power_t")}
 
 
 def save(spec: ModelSpec, weights: DataFrame, path: str, quantized: bool = False) -> None:
@@ -40,16 +40,16 @@ def describe(spark: SparkSession, path: str) -> dict:
     return meta
 
 
-def load(spark: SparkSession, path: str, immutable: bool = False, like: ModelSpec | None = None, learning_rate: float | None = None, power_t: float | None = None) -> tuple[ModelSpec, DataFrame]:
-    """Specification and weights. immutable: the optimizer's state isn't read. like: the model that it has to agree with. Row counts of blocks are checked."""
+def load(spark: SparkSession, path: str, immutable: bool = False, like: ModelSpec | None = None, **overrides: float | None) -> tuple[ModelSpec, DataFrame]:
+    """Specification and weights. immutable: the optimizer's state isn't read. like: the model that it has to agree with. overrides: new values of OVERRIDES. Row counts of blocks are checked."""
     meta = describe(spark, path)
     spec = ModelSpec.from_json(json.dumps(meta["spec"]))
     if like is not None and like.to_json() != spec.to_json():
         raise ValueError("the model differs from the one in use")
-    if learning_rate is not None:
-        spec.lr, spec.ffm = replace(spec.lr, learning_rate=learning_rate), replace(spec.ffm, learning_rate=learning_rate)
-    if power_t is not None:
-        spec.lr, spec.ffm = replace(spec.lr, power_t=power_t), replace(spec.ffm, power_t=power_t)
+    for name, value in overrides.items():
+        block, rate = OVERRIDES[name]
+        if value is not None:
+            setattr(spec, block, replace(getattr(spec, block), **{rate: value}))
     kept = ["block", "idx", "w"] + (["acc"] if meta["state"] and not immutable else [])
     rows = spark.read.schema("idx long, w float, acc float, block string" if meta["state"] else "idx long, w float, block string").parquet(f"{path}/weights").select(*kept)
     found = {r.block: r.n for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect()}

@@ -133,6 +133,8 @@ def test_store_checks_and_converts(spark, tmp_path):
     model_store.save(spec, w, f"{tmp_path}/m")
     again, rows = model_store.load(spark, f"{tmp_path}/m", like=spec)
     assert again.to_json() == spec.to_json() and sorted(map(tuple, rows.collect())) == sorted(map(tuple, w.collect()))
+    changed, _ = model_store.load(spark, f"{tmp_path}/m", learning_rate=0.7, ffm_power_t=0.1)
+    assert (changed.lr.learning_rate, changed.lr.power_t, changed.ffm.learning_rate, changed.ffm.power_t) == (0.7, spec.lr.power_t, spec.ffm.learning_rate, 0.1)
     model_store.convert_to_inference(spark, f"{tmp_path}/m", f"{tmp_path}/i")
     s, rows = model_store.load(spark, f"{tmp_path}/i")
     assert s.optimizer == "sgd" and rows.columns == ["block", "idx", "w"]
