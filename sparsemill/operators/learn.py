@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from math import exp, frexp
 
 import numpy as np
@@ -16,7 +17,7 @@ from ..functions.losses import gradient
 from ..plans.spec import ModelSpec
 from ..storage import stored
 from .features import long_ffm, long_lr
-from .learner import Example, Learner
+from .learner import Example, Learner, initial_ffm
 from .optimizers import initial_acc, step
 from .score import embeddings, field_vectors, totals
 
@@ -322,7 +323,69 @@ def minibatch(features: DataFrame, spec: ModelSpec, batches: int = 1, epochs: in
     return lr, ffm
 
 
-def batch_predictions(learner: Learner, batch: pa.RecordBatch) -> np.ndarray:
+class LinearWeights:
+    """Weights by place: a dense array for small tables, else sorted places, so that memory follows the weights that were ever touched."""
+
+    DENSE = 1 << 22
+
+    def __init__(self, bits: int, idx: np.ndarray, w: np.ndarray):
+        if len(idx) and (idx.max() >= 1 << bits or idx.min() < 0):
+            raise ValueError("weights outside the model's places")
+        self.dense = None
+        if 1 << bits <= self.DENSE:
+            self.dense = np.zeros(1 << bits, np.float32)
+            self.dense[idx] = w
+        else:
+            order = np.argsort(idx)
+            self.idx, self.w = np.append(idx[order], np.int64(1) << 62), np.append(w[order], np.float32(0.0))
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[hashes]
+        at = np.searchsorted(self.idx, hashes)
+        return np.where(self.idx[at] == hashes, self.w[at], np.float32(0.0))
+
+
+@dataclass
+class BatchScorer:
+    """Linear and field weights of a model without a net."""
+
+    w: LinearWeights
+    fw: np.ndarray
+    F: int
+    k: int
+
+
+#: Of the last models that this process scored with, by a number that names a model's weights.
+_SCORERS: dict[str, BatchScorer | Learner] = {}
+
+
+def scorer_of(name: str, spec: ModelSpec, loaded: list[tuple]) -> BatchScorer | Learner:
+    """A model's scorer, made once in a process."""
+    if name not in _SCORERS:
+        while len(_SCORERS) >= 2:
+            _SCORERS.pop(next(iter(_SCORERS)))
+        if spec.layers:
+            made: BatchScorer | Learner = Learner(spec)
+            for block, idx, w, _ in loaded:
+                made.load(block, idx, w, None)
+        else:
+            blocks = {block: (idx, w) for block, idx, w, _ in loaded}
+            none = np.zeros(0, np.int64), np.zeros(0, np.float32)
+            size = (1 << spec.ffm_bit_precision) + spec.n_fields * spec.ffm_k if spec.ffm_k else 0
+            fw = np.zeros(0, np.float32)
+            if size:
+                idx, own = blocks.get("ffm", none)
+                if len(idx) not in (0, size):
+                    raise ValueError(f"Lengths of weights array in regressor file differ: got {len(idx)}, expected {size}")
+                fw = initial_ffm(spec, size) if not len(idx) else np.zeros(size, np.float32)
+                fw[idx] = own
+            made = BatchScorer(LinearWeights(spec.bit_precision, *blocks.get("lr", none)), fw, spec.n_fields, spec.ffm_k)
+        _SCORERS[name] = made
+    return _SCORERS[name]
+
+
+def batch_predictions(learner: BatchScorer, batch: pa.RecordBatch) -> np.ndarray:
     """Predictions of a batch's examples at once, by linear and field weights."""
 
     def lists(name: str, third: str) -> tuple:
@@ -358,10 +421,10 @@ def score_local(features: DataFrame, spec: ModelSpec, weights: DataFrame, **keep
     """example_num, prediction by a whole model (nets too) in every task. The model is bounded by its options, not by the data."""
     loaded = _local_weights(weights)
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(spec)
-        for block, idx, w, _ in loaded:
-            learner.load(block, idx, w, None)
+        learner = scorer_of(name, spec, loaded)
         for batch in batches:
             predictions = np.array([learner.predict(e) for e in examples_of(batch)]) if spec.layers else batch_predictions(learner, batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predictions, pa.float64())], ["example_num", "prediction"])

@@ -94,6 +94,16 @@ def test_relational_score_is_the_learners(spark):
         assert got[r.example_num] == pytest.approx(want, abs=1e-5) and own[r.example_num] == pytest.approx(want, abs=1e-5)
 
 
+def test_sparse_weights_are_the_dense_ones(monkeypatch):
+    rng = np.random.default_rng(1)
+    idx = rng.choice(1 << 12, 500, replace=False)
+    w = rng.normal(size=500).astype(np.float32)
+    hashes = rng.integers(0, 1 << 12, 3000)
+    dense = learn.LinearWeights(12, idx, w)[hashes]
+    monkeypatch.setattr(learn.LinearWeights, "DENSE", 1)
+    assert (learn.LinearWeights(12, idx, w)[hashes] == dense).all() and (learn.LinearWeights(12, idx[:0], w[:0])[hashes] == 0).all()
+
+
 def test_fields_generalise_to_unseen_pairs(spark):
     """Hard pairs never occur in training: linear models can't tell them, fields can."""
     args = "--keep A --keep B --ffm_k 8 --ffm_field A --ffm_field B --ffm_init_width 0.5 --adaptive -l 0.2 --power_t 0.3 -b 16 --ffm_bit_precision 16"
