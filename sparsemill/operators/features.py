@@ -56,11 +56,21 @@ def featurize(examples: DataFrame, spec: ModelSpec, keep: tuple[str, ...] = ())
     return rows.select("example_num", "label", "importance", *keep, lr_features(spec).alias("lr"), ffm_features(spec).alias("ffm"))
 
 
-def long_lr(features: DataFrame, *keys: str) -> DataFrame:
-    """A row for each linear feature: example_num, combo, idx, v."""
-    return features.select(*(keys or ("example_num",)), F.explode("lr").alias("x")).select(*(keys or ("example_num",)), F.col("x.combo").alias("combo"), F.col("x.hash").alias("idx"), F.col("x.value").cast("double").alias("v"))
+def long_lr(features: DataFrame, *keys: str, empty: bool = False) -> DataFrame:
+    """A row for each linear feature: example_num, combo, idx, v. empty: an example without features has one row of nulls.
+
+    Exploded with empty lists and filtered afterwards: a plain explode has the
+    optimizer filter by the list's size first, which computes all features twice.
+    """
+    names = keys or ("example_num",)
+    rows = features.select(*names, F.explode_outer("lr").alias("x"))
+    if not empty:
+        rows = rows.where(F.col("x").isNotNull())
+    return rows.select(*names, F.col("x.combo").alias("combo"), F.col("x.hash").alias("idx"), F.col("x.value").cast("double").alias("v"))
 
 
 def long_ffm(features: DataFrame, *keys: str) -> DataFrame:
     """A row for each field's feature: example_num, i (place), f (field), h, v."""
-    return features.select(*(keys or ("example_num",)), F.posexplode("ffm").alias("i", "x")).select(*(keys or ("example_num",)), "i", F.col("x.field").alias("f"), F.col("x.hash").alias("h"), F.col("x.value").cast("double").alias("v"))
+    names = keys or ("example_num",)
+    rows = features.select(*names, F.posexplode_outer("ffm").alias("i", "x")).where(F.col("x").isNotNull())
+    return rows.select(*names, "i", F.col("x.field").alias("f"), F.col("x.hash").alias("h"), F.col("x.value").cast("double").alias("v"))

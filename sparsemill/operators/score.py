@@ -52,12 +52,12 @@ def totals(features: DataFrame, spec: ModelSpec, lr_weights: DataFrame, ffm_weig
     is aggregated in place, where weights are small enough to come to them.
     """
     features = features.repartition(key)
-    parts = lr_sums(features, lr_weights, key).select(key, F.col("s").alias("x"))
-    if spec.ffm_k and ffm_weights is not None:
-        outputs = field_outputs(field_vectors(embeddings(features, ffm_weights, spec.n_fields, spec.ffm_k, key), key), key)
-        parts = parts.union(outputs.select(key, F.col("o").alias("x")))
-    none = features.select(key, F.lit(0.0).alias("x"))
-    return parts.union(none).groupBy(key).agg(F.sum("x").alias("total"))
+    linear = long_lr(features, key, empty=True).join(lr_weights.select("idx", F.col("w").cast("double").alias("w")), "idx", "left")
+    sums = linear.groupBy(key).agg(F.sum(F.coalesce(F.col("v") * F.col("w"), F.lit(0.0))).alias("total"))
+    if not spec.ffm_k or ffm_weights is None:
+        return sums
+    outputs = field_outputs(field_vectors(embeddings(features, ffm_weights, spec.n_fields, spec.ffm_k, key), key), key)
+    return sums.union(outputs.select(key, "o")).groupBy(key).agg(F.sum("total").alias("total"))
 
 
 def score(features: DataFrame, spec: ModelSpec, lr_weights: DataFrame, ffm_weights: DataFrame | None = None, key: str = "example_num") -> DataFrame:
@@ -74,7 +74,7 @@ def inputs_vector(features: DataFrame, spec: ModelSpec, lr_weights: DataFrame, f
         place = F.lit(width) + F.floor(F.col("f2") * (F.col("f2") + 1) / 2) + F.col("f1")
         parts = parts.union(out.select(key, place.cast("int").alias("at"), F.col("o").alias("x")))
         width += spec.n_fields * (spec.n_fields + 1) // 2
-    none = features.select(key, F.lit(0).alias("at"), F.lit(0.0).alias("x"))
+    none = features.select(key, F.lit(0).alias("at"), F.lit(0.0).alias("x"))  # examples without features stay
     sums = [F.coalesce(F.sum(F.when(F.col("at") == i, F.col("x"))), F.lit(0.0)) for i in range(width)]
     return parts.union(none).groupBy(key).agg(F.array(*sums).alias("x"))
 
