@@ -14,7 +14,7 @@ is packed largest first, each piece where it leaves the least room.
 Pieces are numbered within their length by counts of input partitions, so no
 group of equal lengths is gathered in a task.
 
-Tokens: ids of a `tokenizers` file, and an end id. Texts of plain Latin letters,
+Tokens: ids of a `tokenizers` file, and an end id. Texts of common characters,
 which are split alike everywhere, are encoded by tiktoken with the same
 vocabulary, about six times as fast; all others by tokenizers itself.
 
@@ -40,8 +40,9 @@ from tokenizers import Tokenizer
 from .byte_bpe import byte_characters
 from .common import id_text, steps, stored
 
-#: Anything but characters whose classes all Unicode versions agree on: printable ASCII, tab, line feed, Latin letters.
-UNUSUAL = re.compile(r"[^\t\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ɏ]")
+#: Anything but characters whose classes (letter, digit, blank, other) all versions of Unicode agree on: printable
+#: ASCII, tab and line feed; Latin, Greek, Cyrillic, kana and the first Han letters; Latin-1's and general punctuation.
+UNUSUAL = re.compile("[^\t\n\x20-\x7e\xa1-\xac\xae-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u20a0-\u20b1\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ids of longer texts are always from tokenizers.
 FAST_LENGTH = 1 << 20

@@ -131,6 +131,13 @@ def test_plan_uses_each_piece_once_and_no_more_than_fits():
 def test_fast_ids_are_the_exact_ones():
     e = packing.encoder(JSON)
     rng = random.Random(1)
-    for _ in range(300):
-        text = "".join(rng.choice("ab  é\nÑ1'st9,.-ü\tßŁ") for _ in range(rng.randint(0, 60)))
-        assert e(text).tolist() == e.exact.encode(text, add_special_tokens=False).ids
+    usual = [chr(c) for c in [9, 10, *range(0x20, 0xA000)] if not packing.UNUSUAL.match(chr(c))]
+    assert len(usual) > 20_000
+    for k in range(3000):
+        some = [rng.choice(usual) for _ in range(6)] + list("ab  1's.\n") if k % 2 else list("ab  é\nÑ1'st9,.-ü\tßŁ")
+        text = "".join(rng.choice(some) for _ in range(rng.randint(0, 60)))
+        assert not packing.UNUSUAL.search(text)
+        assert e.fast.encode_ordinary(text) == e.exact.encode(text, add_special_tokens=False).ids, text
+    every = "".join(f"a{c}1 {c}{c}" for c in usual)  # each of them between a letter, a digit and a blank
+    assert e.fast.encode_ordinary(every) == e.exact.encode(every, add_special_tokens=False).ids
+    assert e("<|endoftext|>\u2028x").tolist() == e.exact.encode("<|endoftext|>\u2028x", add_special_tokens=False).ids
