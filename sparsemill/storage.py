@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or on a single machine without it a new temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(spark, "_sparsemill_dir", None) or tempfile.mkdtemp(prefix="sparsemill-")
         spark._sparsemill_dir = found
