@@ -228,17 +228,51 @@ def _local_weights(table: DataFrame | None) -> list[tuple]:
     return [(block, g["idx"].to_numpy(), g["w"].to_numpy(np.float32), g["acc"].to_numpy(np.float32) if "acc" in g else None) for block, g in rows.groupby("block", sort=True)]
 
 
-def many_models(features: DataFrame, spec: ModelSpec, model: str = "model_id", **options) -> DataFrame:  # noqa: ANN003
-    """model, and the columns of a fold: a model of its own for each value of a column, learned in parallel."""
+class _Runs:
+    """Batches that are sorted by their first column, cut where it changes."""
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("example_num").combine_chunks()
-        learner, parts = folder(spec), iter(table.to_batches(max_chunksize=1 << 14))
-        for out in learner.fold(parts, **options) if isinstance(learner, LinearFold) else fold(learner, parts, **options):
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * out.num_rows, pa.string()), *out.columns], [model, *NAMES])
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        self.parts = self._parts(batches)
+        self.ahead = next(self.parts, None)
+
+    @staticmethod
+    def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            at = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for x, y in zip(at, at[1:], strict=False):
+                if y > x:
+                    yield names[x], batch.slice(x, y - x)
+
+    def __iter__(self) -> Iterator[tuple[str, Iterator[pa.RecordBatch]]]:
+        while self.ahead is not None:
+            name = self.ahead[0]
+            yield name, self._of(name)
+
+    def _of(self, name: str) -> Iterator[pa.RecordBatch]:
+        while self.ahead is not None and self.ahead[0] == name:
+            part = self.ahead[1]
+            self.ahead = next(self.parts, None)
+            yield part
+
+
+def many_models(features: DataFrame, spec: ModelSpec, model: str = "model_id", partitions: int | None = None, **options) -> DataFrame:  # noqa: ANN003
+    """model, and the columns of a fold: a model of its own for each value of a column, learned in parallel.
+
+    A task holds one model at a time and streams its examples, however many, in
+    order. partitions: cut the models' values into so many ranges, for few models
+    of equal size; by default they are dealt by hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, own in _Runs(batches):
+            learner = folder(spec)
+            for out in learner.fold(own, **options) if isinstance(learner, LinearFold) else fold(learner, own, **options):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * out.num_rows, pa.string()), *out.columns], [model, *NAMES])
 
     rows = features.select(F.col(model).cast("string").alias(model), "example_num", "label", "importance", "lr", "ffm")
-    return rows.groupBy(model).applyInArrow(lambda key, table: pa.Table.from_batches(list(run(key, iter(table.to_batches())))), f"{model} string, {FOLD}")
+    dealt = rows.repartitionByRange(partitions, model) if partitions else rows.repartition(model)
+    return dealt.sortWithinPartitions(model, "example_num").mapInArrow(run, f"{model} string, {FOLD}")
 
 
 def averaged(features: DataFrame, spec: ModelSpec, parts: int = 16) -> DataFrame:
@@ -248,17 +282,17 @@ def averaged(features: DataFrame, spec: ModelSpec, parts: int = 16) -> DataFrame
     given number of parts.
     """
     shared = features.where(F.col("label").isNotNull()).withColumn("part", F.pmod(F.xxhash64("example_num"), F.lit(parts)).cast("string"))
-    folded = stored(many_models(shared, spec, "part"), "parts")
+    folded = stored(many_models(shared, spec, "part", parts), "parts")
     counts = folded.where("kind = 'prediction'").groupBy("part").agg(F.count("*").alias("n"))
     return average(folded.where("kind = 'weight'").select("part", "block", "idx", "w", "acc"), counts, spec)
 
 
 def average(weights: DataFrame, counts: DataFrame, spec: ModelSpec) -> DataFrame:
     """block, idx, w, acc from part, block, idx, w, acc and part, n. Parts are few: a parameter."""
-    total = counts.agg(F.sum("n").alias("total"))
-    rows = weights.join(F.broadcast(counts), "part").crossJoin(F.broadcast(total))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    rows = weights.join(F.broadcast(counts), "part")
     start = F.when(F.col("block") == "lr", initial_acc(spec.optimizer, spec.lr)).when(F.col("block") == "ffm", initial_acc(spec.optimizer, spec.ffm)).otherwise(initial_acc(spec.optimizer, spec.nn))
-    share = F.col("n") / F.col("total")
+    share = F.col("n") / F.lit(float(total))
     sums = rows.groupBy("block", "idx").agg(F.sum(F.col("w") * share).alias("w"), F.sum(F.col("acc") * share).alias("a"), F.sum(share).alias("part"))
     return sums.select("block", "idx", F.col("w").cast("float").alias("w"), (F.col("a") + (1 - F.col("part")) * start).cast("float").alias("acc"))
 

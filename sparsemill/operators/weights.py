@@ -30,8 +30,10 @@ def half(x: pd.Series) -> pd.Series:
 
 def quantize(weights: DataFrame) -> DataFrame:
     """idx, q (a bucket's number in half precision), low, increment. Equal weights all fall to bucket 0."""
-    bounds = F.broadcast(statistics(weights).select(F.col("min_w").cast("float").alias("low"), ((F.col("max_w") - F.col("min_w")) / BUCKETS).cast("float").alias("increment")))
-    rows = weights.crossJoin(bounds)  # one row
+    found = statistics(weights).first()
+    low, high = (np.float32(x or 0.0) for x in (found.min_w, found.max_w))
+    increment = np.float32((high - low) / np.float32(BUCKETS))
+    rows = weights.withColumns({"low": F.lit(float(low)).cast("float"), "increment": F.lit(float(increment)).cast("float")})
     bucket = F.when(F.col("increment") == 0, F.lit(0.0)).otherwise(F.try_divide((F.col("w").cast("float") - F.col("low")).cast("double"), F.col("increment").cast("double")))
     return rows.select("idx", half(F.round(bucket).cast("float")).alias("q"), "low", "increment")
 
