@@ -93,14 +93,25 @@ class LinearFold:
         return list(map(found.__getitem__, at.tolist()))
 
     @staticmethod
-    def total(own: list, values: list) -> float:
+    def total(own: list, values: list | None) -> float:
+        """values: None where all are one, as here and in update()."""
+        if values is None:
+            return sum([c[0] for c in own])
         t = 0.0
         for c, v in zip(own, values, strict=True):
             t += c[0] * v
         return t
 
-    def update(self, own: list, values: list, g: float) -> None:
+    def update(self, own: list, values: list | None, g: float) -> None:
         kind, constant = self.opt.kind, self.constant
+        if values is None and constant is not None:
+            step, square = g * constant, 0.0 if kind == "sgd" else g * g
+            for c in own:
+                c[0] -= step
+                c[1] += square
+            return
+        if values is None:
+            values = [1.0] * len(own)
         if kind == "sgd":
             g *= constant
             for c, v in zip(own, values, strict=True):
@@ -122,7 +133,7 @@ class LinearFold:
     def fold(self, batches: Iterator[pa.RecordBatch], testonly: bool = False, predictions_after: int = 0, holdout_after: int | None = None, delay: int = 0, emit_weights: bool = True) -> Iterator[pa.RecordBatch]:
         waiting: deque[tuple] = deque()
 
-        def learned(own: list, values: list, label: int | None, importance: float, t: float, p: float) -> None:
+        def learned(own: list, values: list | None, label: int | None, importance: float, t: float, p: float) -> None:
             if label is not None and importance and t == t and abs(t) <= 50.0:
                 self.update(own, values, (p - label) * importance)
 
@@ -133,10 +144,12 @@ class LinearFold:
             get = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
             column = get("lr")
             flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(np.where(np.asarray(column.is_null()), 0, np.diff(np.asarray(column.offsets))))]).tolist()
-            cells, v = self.of(np.asarray(flat.field("hash"))), np.asarray(flat.field("value")).tolist()
+            cells, v = self.of(np.asarray(flat.field("hash"))), np.asarray(flat.field("value"))
+            v = None if (v == 1.0).all() else v.tolist()
             numbers, out = [], []
             for k, (number, label, importance) in enumerate(zip(get("example_num").to_pylist(), get("label").to_pylist(), get("importance").to_pylist(), strict=True)):
-                own, values = cells[ends[k] : ends[k + 1]], v[ends[k] : ends[k + 1]]
+                a, b = ends[k], ends[k + 1]
+                own, values = cells[a:b], None if v is None else v[a:b]
                 importance = 1.0 if importance is None else importance
                 t = self.total(own, values)
                 p = probability(t)
