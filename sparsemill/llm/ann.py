@@ -12,9 +12,8 @@ size is shared out; no pairs are emitted, and no candidate is left out.
 Equal vectors are hashed once, with as many of their smallest ids as an answer
 can hold, found by a partial reduction before the shuffle.
 
-The index holds every row. Probes are per 2^(2 * axes bits) buckets; small tables,
-whose neighbours are far off, take more of them: about `work / rows`, `probes` at
-least.
+The index holds every row. Tables of every size take the same number of probes, of
+the (2 * axes)^2 buckets of a table: 512 of 16,384 for vectors of 64 numbers.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, as query or candidate, and so have no result rows; rows
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-TABLES, PROBES, WORK = 16, 192, 1 << 23
+TABLES, PROBES = 16, 512
 #: Rows of a block's side: this many, or more for large tables.
 BLOCK = 512
 
@@ -149,14 +148,13 @@ def _hashed(batches: Iterator[pa.RecordBatch], tables: int, n_probes: int | None
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(axis.astype(np.int32)), v.take(take), ids.take(take), codes], names)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, least_probes: int = PROBES, work: int = WORK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, n_probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance): the k nearest found of each row of the given condition (on columns of `vectors`), itself excepted; ties to the smaller id."""
     schema = "dim int, tab int, axis int, v array<double>, ids array<long>, second array<int>"
     rows = stored(_usable(vectors, id_col, vector_col), "vectors")
     distinct = stored(_smallest(rows, k + 1), "distinct")
     asked = _usable(vectors.where(is_query), id_col, vector_col)
     n = max(1, distinct.count())
-    n_probes = max(least_probes, work // n)
     block = min(max(BLOCK, n // 8192), 65_536)
     index = stored(distinct.mapInArrow(lambda b: _hashed(b, tables, None), schema), "index")
     # Equal queries share their probes: a query's row holds its vector and the ids of all queries of that vector, in lists of at most `block`.

@@ -188,6 +188,24 @@ def test_neighbours(spark):
     assert hits / (10 * len(want)) >= 0.9
 
 
+def hits(spark, rows, k, **options):
+    """Share of the true nearest that are found, for every 20th vector."""
+    want = brute(rows, lambda i: i % 20 == 0, k)
+    got = {}
+    for r in ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0, k=k, **options).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return sum(len(got.get(i, set()) & {j for _, j in near}) for i, near in want.items()) / (k * len(want))
+
+
+def test_small_tables_are_probed_like_large_ones(spark):
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(30, 64))
+    rows = [(i, np.float32(centers[i % 30] + rng.normal(scale=0.5, size=64)).astype(float)) for i in range(1500)]
+    assert 16 * ann.PROBES < 128 * 128  # buckets of a table
+    assert hits(spark, rows, 10) >= 0.9
+    assert hits(spark, rows, 1, tables=1, n_probes=24) < 0.99
+
+
 def test_no_vectors(spark):
     assert ann.nearest(table(spark, []), F.col("vec_id") % 100 == 0).count() == 0
     assert ann.nearest(table(spark, [(0, [1.0, 0.0])]), F.col("vec_id") % 100 == 0).count() == 0
