@@ -17,8 +17,9 @@ the (2 * axes)^2 buckets of a table: 512 of 16,384 for vectors of 64 numbers.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, as query or candidate, and so have no result rows; rows
-of null ids neither; a query with fewer candidates than k gets all that the probed
-buckets hold; vectors are only compared with others of their length; rows that
+of null ids neither; a query with fewer candidates than k gets all of them; one whose
+probed buckets hold fewer than that is compared with all rows of its length;
+vectors are only compared with others of their length; rows that
 repeat an id and a vector count once; an empty table gives an empty one.
 """
 
@@ -148,18 +149,8 @@ def _hashed(batches: Iterator[pa.RecordBatch], tables: int, n_probes: int | None
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(axis.astype(np.int32)), v.take(take), ids.take(take), codes], names)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, n_probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean distance): the k nearest found of each row of the given condition (on columns of `vectors`), itself excepted; ties to the smaller id."""
-    schema = "dim int, tab int, axis int, v array<double>, ids array<long>, second array<int>"
-    rows = stored(_usable(vectors, id_col, vector_col), "vectors")
-    distinct = stored(_smallest(rows, k + 1), "distinct")
-    asked = _usable(vectors.where(is_query), id_col, vector_col)
-    n = max(1, distinct.count())
-    block = min(max(BLOCK, n // 8192), 65_536)
-    index = stored(distinct.mapInArrow(lambda b: _hashed(b, tables, None), schema), "index")
-    # Equal queries share their probes: a query's row holds its vector and the ids of all queries of that vector, in lists of at most `block`.
-    groups = asked.distinct().groupBy("v", F.pmod(F.xxhash64("vec_id"), F.ceil(F.lit(n) / block)).alias("g")).agg(F.collect_list("vec_id").alias("ids")).select("v", "ids")
-    probe = stored(groups.mapInArrow(lambda b: _hashed(b, tables, n_probes), schema), "probes")
+def _search(index: DataFrame, probe: DataFrame, k: int, block: int) -> DataFrame:
+    """query_id, x: the k nearest or fewer (far, ids) of each block that a query meets. A probe without codes meets all rows of its axis."""
     key = ["dim", "tab", "axis"]
     # As many rows as tables x signed axes (and lengths of vectors).
     sizes = index.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("rows")).join(probe.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("asks")), key)
@@ -181,7 +172,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
             codes = asks.column("second").combine_chunks()
             ends, flat = np.asarray(codes.offsets), np.asarray(codes.values)
             for j, own in enumerate(asks.column("ids").to_pylist()):
-                at = np.flatnonzero(np.isin(second, flat[ends[j] : ends[j + 1]]))
+                at = np.flatnonzero(np.isin(second, flat[ends[j] : ends[j + 1]])) if ends[j] < ends[j + 1] else np.arange(len(x))
                 if not len(at):
                     continue
                 far = np.sqrt(((x[at] - q[j]) ** 2).sum(axis=1))
@@ -196,6 +187,39 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     blocks = left.groupBy(*key, "ask", "row").cogroup(right.groupBy(*key, "ask", "row")).applyInArrow(compare, "asked array<long>, ids array<long>, far array<double>")
     # A few candidates of each block a query: a bounded list.
     each = blocks.select(F.explode("asked").alias("query_id"), F.arrays_zip("far", "ids").alias("x"))
-    each = each.select("query_id", F.slice(F.array_sort(F.filter("x", lambda x: x["ids"] != F.col("query_id"))), 1, k).alias("x"))
-    best = each.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))), 1, k).alias("x"))
+    return each.select("query_id", F.slice(F.array_sort(F.filter("x", lambda x: x["ids"] != F.col("query_id"))), 1, k).alias("x"))
+
+
+def _merged(each: DataFrame, k: int) -> DataFrame:
+    """query_id, x: the k nearest of all blocks."""
+    return each.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("x")))), 1, k).alias("x"))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, n_probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score (Euclidean distance): the k nearest found of each row of the given condition (on columns of `vectors`), itself excepted; ties to the smaller id."""
+    schema = "dim int, tab int, axis int, v array<double>, ids array<long>, second array<int>"
+    rows = stored(_usable(vectors, id_col, vector_col), "vectors")
+    distinct = stored(_smallest(rows, k + 1), "distinct")
+    asked = _usable(vectors.where(is_query), id_col, vector_col)
+    n = max(1, distinct.count())
+    block = min(max(BLOCK, n // 8192), 65_536)
+    index = stored(distinct.mapInArrow(lambda b: _hashed(b, tables, None), schema), "index")
+    # Equal queries share their probes: a query's row holds its vector and the ids of all queries of that vector, in lists of at most `block`.
+    groups = asked.distinct().groupBy("v", F.pmod(F.xxhash64("vec_id"), F.ceil(F.lit(n) / block)).alias("g")).agg(F.collect_list("vec_id").alias("ids")).select("v", "ids")
+    probe = stored(groups.mapInArrow(lambda b: _hashed(b, tables, n_probes), schema), "probes")
+    best = stored(_merged(_search(index, probe, k, block), k), "best")
+    # Exactly, queries that have fewer than k, unless their only vector was compared with all others of its length.
+    there = distinct.groupBy(F.size("v").alias("dim")).agg(F.sum(F.size("ids")).alias("rows"))
+    own = asked.distinct().withColumn("dim", F.size("v")).join(there, "dim")
+    own = own.groupBy("vec_id").agg(F.count("*").alias("vectors"), F.sum("rows").alias("rows")).join(best.select(F.col("query_id").alias("vec_id"), F.size("x").alias("found")), "vec_id", "left")
+    found = F.coalesce("found", F.lit(0))
+    short = stored(own.where((found < k) & ((F.col("vectors") > 1) | (found < F.col("rows") - 1))).select("vec_id"), "short")
+    if not short.isEmpty():
+        whole = lambda rows, second: rows.select(F.size("v").alias("dim"), F.lit(0).alias("tab"), F.lit(0).alias("axis"), "v", "ids", second.cast("array<int>").alias("second"))
+        probe = asked.join(short, "vec_id", "left_semi").distinct().select("v", F.array("vec_id").alias("ids"))
+        probe = stored(whole(probe, F.array()), "whole_probes")
+        index = whole(distinct, F.array(F.lit(0))).join(probe.select("dim").distinct(), "dim", "left_semi")
+        index = stored(index.select("dim", "tab", "axis", "v", "ids", "second"), "whole_index")
+        exact = _merged(_search(index, probe, k, block), k)
+        best = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(exact)
     return best.select("query_id", F.posexplode("x").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.far").alias("score"))

@@ -206,6 +206,20 @@ def test_small_tables_are_probed_like_large_ones(spark):
     assert hits(spark, rows, 1, tables=1, n_probes=24) < 0.99
 
 
+def test_short_lists_are_filled_exactly(spark):
+    """Vectors of a rare length, and outlying ones, whose few probed buckets hold next to nothing."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).astype(np.float32).astype(float)) for i in range(400)]
+    rows += [(1000 + 20 * i, rng.normal(size=128).astype(np.float32).astype(float)) for i in range(8)]
+    got = {}
+    for r in ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0, tables=1, n_probes=1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(rows, lambda i: i % 20 == 0)
+    assert {i: len(x) for i, x in got.items()} == {i: len(x) for i, x in want.items()}
+    assert {len(x) for x in got.values()} == {7, 10}
+    assert got == {i: [j for _, j in near] for i, near in want.items()}
+
+
 def test_no_vectors(spark):
     assert ann.nearest(table(spark, []), F.col("vec_id") % 100 == 0).count() == 0
     assert ann.nearest(table(spark, [(0, [1.0, 0.0])]), F.col("vec_id") % 100 == 0).count() == 0
