@@ -4,8 +4,8 @@ A gear hash rolls over the bytes of each text: h = 2 h + G[byte], 32 bits, so th
 it depends on the last 32 bytes only. A text is cut after a blank where the top
 bits of h are zero, after each line feed, and at LONGEST bytes; not before
 SHORTEST bytes. As cuts follow the content, an insertion moves them only near
-itself. Chunks are counted by digest; of equal chunks the first by (doc_id, place)
-stays. Runs of neighbouring repeated chunks with min_words words or more are
+itself. Chunks are counted by digest; of equal chunks the first by (doc_id,
+text key, place) stays. Runs of neighbouring repeated chunks with min_words words or more are
 passages; the chunks of a passage that aren't the first of their kind are cut out.
 
 A digest may have any number of places: counting is pre-aggregated, and places
@@ -14,9 +14,9 @@ splits where one digest is hot.
 
 Defined results: a null text is an empty one and has no chunks; rows that repeat
 an id and a text are one document (their chunks have the same places, so that all
-stay or all go alike); chunks of rows that share an id but not a text are told
-apart by place and digest; rows of null id count as one smallest id; an empty
-table gives an empty one.
+stay or all go alike); rows that share an id but not a text are told apart by the
+hash of the text and have runs of their own; rows of null id count as one smallest
+id; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -86,47 +86,48 @@ def digests(text: bytes) -> list[tuple[int, int, int, int]]:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, place, upper, lower: each chunk with a word. place packs (as the last 20 bits) its bytes and words."""
+    """doc_id, r (hash of the text), place, upper, lower: each chunk with a word. place packs (as the last 20 bits) its bytes and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch):
-                ids, place, upper, lower = [], [], [], []
-                for doc_id, text in zip(step.column(0).to_pylist(), step.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids, keys, place, upper, lower = [], [], [], [], []
+                for doc_id, r, text in zip(step.column(0).to_pylist(), step.column(2).to_pylist(), step.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     for start, end, a, b in digests(text):
                         words = len(text[start:end].split())
                         if words:
                             ids.append(doc_id)
+                            keys.append(r)
                             place.append(start << 20 | (end - start) << 10 | words)
                             upper.append(a)
                             lower.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, place, upper, lower)], ["doc_id", "place", "upper", "lower"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, keys, place, upper, lower)], ["doc_id", "r", "place", "upper", "lower"])
 
-    rows = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, place long, upper long, lower long")
+    rows = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("r"))
+    return rows.mapInArrow(run, "doc_id long, r long, place long, upper long, lower long")
 
 
 def repeated_chunks(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, stop, words, upper, lower, first_id, removed, run_start: chunks of passages that are found more than once (places in bytes)."""
+    """doc_id, r, start, stop, words, upper, lower, first_id, removed, run_start: chunks of passages that are found more than once (places in bytes)."""
     # Half the digest finds what may repeat; the places of those few carry all of it.
     often = stored(chunks(docs, id_col, text_col).groupBy("upper").count().where("count > 1").select("upper"), "often")
     places = stored(chunks(docs, id_col, text_col).join(often, "upper"), "places")
-    first = places.groupBy("upper", "lower").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last"))
-    first = stored(first.where("first <> last").select("upper", "lower", F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place")), "first")
+    first = places.groupBy("upper", "lower").agg(F.min(F.struct("doc_id", "r", "place")).alias("first"), F.max(F.struct("doc_id", "r", "place")).alias("last"))
+    first = stored(first.where("first <> last").select("upper", "lower", F.col("first.doc_id").alias("first_id"), F.col("first.r").alias("first_r"), F.col("first.place").alias("first_place")), "first")
     start = F.shiftright("place", 20)
-    found = places.join(first, ["upper", "lower"]).select("doc_id", start.alias("start"), (start + F.shiftright("place", 10).bitwiseAND(1023)).alias("stop"), F.col("place").bitwiseAND(1023).alias("words"), "upper", "lower", "first_id", ((F.col("doc_id") != F.col("first_id")) | (F.col("place") != F.col("first_place"))).alias("removed"))
-    order = Window.partitionBy("doc_id").orderBy("start", "stop", "upper", "lower")
+    found = places.join(first, ["upper", "lower"]).select("doc_id", "r", start.alias("start"), (start + F.shiftright("place", 10).bitwiseAND(1023)).alias("stop"), F.col("place").bitwiseAND(1023).alias("words"), "upper", "lower", "first_id", ((F.col("doc_id") != F.col("first_id")) | (F.col("r") != F.col("first_r")) | (F.col("place") != F.col("first_place"))).alias("removed"))
+    order = Window.partitionBy("doc_id", "r").orderBy("start", "stop", "upper", "lower")
     new = F.coalesce((F.lag("stop").over(order) != F.col("start")) | (F.lag("removed").over(order) != F.col("removed")), F.lit(True))
     # Rows that repeat an id and a text give a place twice. Dealt by document first: else the rows of a digest would have to stay together, and a hot one couldn't be split.
-    numbered = found.repartition("doc_id").distinct().withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
-    whole = Window.partitionBy("doc_id", "run")
+    numbered = found.repartition("doc_id", "r").distinct().withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
+    whole = Window.partitionBy("doc_id", "r", "run")
     long_enough = numbered.withColumn("run_words", F.sum("words").over(whole)).withColumn("run_start", F.min("start").over(whole))
     return long_enough.where(F.col("run_words") >= min_words).drop("new", "run", "run_words")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, stop, n_words, source_id, removed: each passage that is found more than once, with the smallest id that holds the first of one of its chunks; removed is false where it stays."""
-    runs = repeated_chunks(docs, min_words, id_col, text_col).groupBy("doc_id", "run_start", "removed")
+    runs = repeated_chunks(docs, min_words, id_col, text_col).groupBy("doc_id", "r", "run_start", "removed")
     out = runs.agg(F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min("first_id").alias("source_id"))
     clean = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return out.select(clean("doc_id"), F.col("run_start").alias("start"), "stop", "n_words", clean("source_id"), "removed")
@@ -135,8 +136,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 16, id_col: str = "doc_i
 def deduplicate(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text", out_col: str = "deduplicated", chunks_found: DataFrame | None = None) -> DataFrame:
     """docs with out_col: the text without passages that stand earlier, and out_col + '_chunks': how many chunks went. A null text stays null."""
     gone = (chunks_found if chunks_found is not None else repeated_chunks(docs, min_words, id_col, text_col)).where("removed")
-    gone_id, dropped, cut = fresh(docs, "gone_id", "gone", "cut")
-    gone = gone.groupBy(F.col("doc_id").alias(gone_id)).agg(F.collect_list(F.struct("start", "upper", "lower")).alias(dropped))
+    gone_id, gone_r, dropped, cut = fresh(docs, "gone_id", "gone_r", "gone", "cut")
+    gone = gone.groupBy(F.col("doc_id").alias(gone_id), F.col("r").alias(gone_r)).agg(F.collect_list(F.struct("start", "upper", "lower")).alias(dropped))
 
     @F.arrow_udf("struct<text:string,chunks:int>")
     def without(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -157,7 +158,8 @@ def deduplicate(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", te
             chunks_.append(len(every) - len(kept))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(chunks_, pa.int32())], ["text", "chunks"])
 
-    joined = docs.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(gone_id), "left")
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(gone_id)
+    joined = docs.join(gone, own & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(gone_r)), "left")
     # Only texts that lose something go through Python.
     done = joined.withColumn(cut, without(F.when(F.col(dropped).isNotNull(), F.col(text_col).cast("string")), F.col(dropped)))
     kept = F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(F.col(f"{cut}.text"))

@@ -76,6 +76,23 @@ def test_shared_passages_are_cut_but_for_the_first(spark):
             assert middle not in after and n > 0 and len(after) > 300
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_under_one_id_have_runs_of_their_own(spark, doc_id):
+    rng = random.Random(12)
+    passage, docs = prose(rng, 60), []
+    for _ in range(12):
+        own = prose(rng, 80).split()
+        at = rng.randrange(80)
+        docs.append((doc_id, " ".join(own[:at] + passage.split() + own[at:])))
+    out = substring_dedup.deduplicate(simple(spark, docs)).collect()
+    middle = " ".join(passage.split()[22:38])
+    assert sorted(r.text for r in out) == sorted(t for _, t in docs)
+    assert sorted(middle in r.deduplicated for r in out) == [False] * 11 + [True]
+    assert all(r.deduplicated == r.text and r.deduplicated_chunks == 0 for r in out if middle in r.deduplicated)
+    found = substring_dedup.repeated_passages(simple(spark, docs)).collect()
+    assert sum(r.removed for r in found) >= 11 and sum(not r.removed for r in found) >= 1
+
+
 def test_all_rows_come_back(spark):
     out = substring_dedup.deduplicate(frame(spark))
     assert set(frame(spark).columns) < set(out.columns)
