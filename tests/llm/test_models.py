@@ -197,13 +197,29 @@ def hits(spark, rows, k, **options):
     return sum(len(got.get(i, set()) & {j for _, j in near}) for i, near in want.items()) / (k * len(want))
 
 
-def test_small_tables_are_probed_like_large_ones(spark):
+def test_one_rule_at_every_size(spark):
+    """Hashes grow with the table, the part of it that is compared falls, and few probes find less."""
     rng = np.random.default_rng(6)
     centers = rng.normal(size=(30, 64))
     rows = [(i, np.float32(centers[i % 30] + rng.normal(scale=0.5, size=64)).astype(float)) for i in range(1500)]
-    assert 16 * ann.PROBES < 128 * 128  # buckets of a table
     assert hits(spark, rows, 10) >= 0.9
-    assert hits(spark, rows, 1, tables=1, n_probes=24) < 0.99
+    assert hits(spark, rows, 10, tables=1, probed=0.3) < 0.99
+    assert [ann.hashes_for(n) for n in (2, 500, 10_000, 10**6, 10**9)] == [3, 5, 6, 7, 10]
+    assert ann.TABLES * ann.PROBED / 1500 ** (1 / 3) < 0.35
+
+
+def test_reach_is_that_of_the_wanted_part_of_all_buckets():
+    rng = np.random.default_rng(9)
+    lost = ann.losses(rng.normal(size=(20, 14)), 1, 3)
+    sums = (lost[:, 0, :, None, None] + lost[:, 1, None, :, None] + lost[:, 2, None, None, :]).reshape(20, -1)
+    for part in (0.01, 0.1, 0.4):
+        most = ann.reach(lost, part)
+        got = (sums <= most[:, None]).mean(axis=1)
+        assert np.abs(got - part).max() < 0.15 * part + 0.002
+        for j in range(20):
+            pairs = lost[j, 0, :, None] + lost[j, 1, None, :]
+            want = np.flatnonzero(pairs.ravel() <= most[j])
+            assert ann.prefixes(lost[j], most[j], 2).tolist() == want.tolist()
 
 
 def test_short_lists_are_filled_exactly(spark):
@@ -212,7 +228,7 @@ def test_short_lists_are_filled_exactly(spark):
     rows = [(i, rng.normal(size=64).astype(np.float32).astype(float)) for i in range(400)]
     rows += [(1000 + 20 * i, rng.normal(size=128).astype(np.float32).astype(float)) for i in range(8)]
     got = {}
-    for r in ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0, tables=1, n_probes=1).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0, tables=1, probed=0.0001).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     want = brute(rows, lambda i: i % 20 == 0)
     assert {i: len(x) for i, x in got.items()} == {i: len(x) for i, x in want.items()}
