@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..storage import shared_dir, stored
 
-__all__ = ["as_bytes", "crc_mod", "frame", "fresh", "id_text", "offsets", "shared_dir", "steps", "stored"]
+__all__ = ["as_bytes", "bounded_sample", "crc_mod", "frame", "fresh", "id_text", "offsets", "shared_dir", "steps", "stored"]
 
 #: Bytes of text that one step of a batch function holds at a time; a single longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -70,6 +70,25 @@ def crc_mod(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
 
 
+def bounded_sample(rows: DataFrame, rows_each: int, chars_each: int, by: str | None = None) -> DataFrame:
+    """Of rows (doc_id, text, and `by`, of few values), for each value of `by` at most rows_each distinct (doc_id, text) of chars_each characters altogether.
+
+    They are taken in the order of their ids' hashes; a row that no longer fits is
+    passed over. The driver sees rows_each ids of each value, and no texts.
+    """
+    keyed = stored(rows.withColumns({"text_key": F.xxhash64("text"), "chars": F.char_length("text").cast("long")}), "sample")
+    sizes = keyed.select("doc_id", "text_key", "chars", (F.col(by) if by else F.lit(0)).alias("by")).distinct()
+    chosen = []
+    for value in [r[0] for r in sizes.select("by").distinct().orderBy("by").collect()] if by else [0]:
+        left = chars_each
+        for r in sizes.where(F.col("by") == value).orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(rows_each).collect():
+            if r.chars <= left:
+                left -= r.chars
+                chosen.append((r.doc_id, r.text_key))
+    few = F.broadcast(frame(rows.sparkSession, chosen, "doc_id long, text_key long"))
+    return keyed.join(few, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).select(*rows.columns)
+
+
 def frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A small table of the driver's rows."""
     return spark.createDataFrame(rows, schema)

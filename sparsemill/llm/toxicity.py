@@ -13,8 +13,9 @@ the greatest marginal and of the expected number of toxic tokens, fitted on the
 same sample; runs of tokens that are toxic with a probability of a half or more
 are offending spans.
 
-The sample holds `per_class` documents of each label at most, those with the
-smallest hashes of their ids, near copies left out: that bounds what the driver reads. Scoring reads
+The sample holds at most `per_class` rows of each label and `learn_chars` characters
+of them, those with the smallest hashes of their ids, rows that no longer fit passed over
+and near copies left out: that bounds what the driver reads. Scoring reads
 every token of every document. Labels, lang, source and doc_id are no inputs.
 
 Defined results: a null text is an empty one; an empty text gets the score of a
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod, id_text, steps
+from .common import as_bytes, bounded_sample, crc_mod, id_text, steps
 from .license_scan import WORD
 from .text import LOWER, hash_prefix, mix, word_bounds, word_hashes
 
@@ -42,8 +43,8 @@ BUCKET_BITS = 20
 BEGINNINGS = (3, 4, 5, 6, 8)
 FEATURES = len(BEGINNINGS) + 1
 PER_CLASS = 1500
-#: Longer texts (in characters) are scored, but not learned from: that bounds the sample in bytes too.
-LONGEST_LEARNED = 200_000
+#: Characters of all texts of a label that are learned from.
+LEARN_CHARS = 8_000_000
 #: Folds by crc32 of the id; one of them is never learned from.
 FOLDS, HELD_OUT = 4, 2
 #: Exponents are kept within this.
@@ -238,7 +239,7 @@ def fit(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, shares: tuple[fl
     return field
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field | None:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learn_chars: int = LEARN_CHARS) -> Field | None:
     """A field from the labelled documents that aren't held out; None if a class has none."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     size = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
@@ -246,16 +247,18 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fie
         return None
     some = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     sample = F.broadcast(some[0].union(some[1]))  # 2 * per_class rows at most
-    rows = id_text(docs).where(F.char_length("text") <= LONGEST_LEARNED).join(sample, "doc_id").select("doc_id", "toxic", "text")
+    # An id may have any number of rows: rows are bounded after ids are.
+    rows = bounded_sample(id_text(docs).join(sample, "doc_id").select("doc_id", "toxic", "text"), per_class, learn_chars, "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch):
                 buckets, _, _, at, _ = tokens(step.column(2))
                 lists = pa.ListArray.from_arrays(pa.array((at * FEATURES).astype(np.int32)), pa.array(buckets.ravel()))
-                yield pa.RecordBatch.from_arrays([step.column(0), step.column(1), lists], ["doc_id", "toxic", "buckets"])
+                yield pa.RecordBatch.from_arrays([step.column(0), step.column(1), step.column(3), lists], ["doc_id", "toxic", "text_key", "buckets"])
 
-    found = rows.mapInArrow(run, "doc_id long, toxic int, buckets array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    found = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, toxic int, text_key long, buckets array<int>").toArrow().combine_chunks()
+    found = found.sort_by([("doc_id", "ascending"), ("text_key", "ascending")])
     if not found.num_rows or len(set(found.column("toxic").to_pylist())) < 2:
         return None
     lists = found.column("buckets").combine_chunks()
@@ -302,6 +305,6 @@ def score(docs: DataFrame, field: Field | None, threshold: float = 0.3, id_col:
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
-def tag(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
+def tag(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS, learn_chars: int = LEARN_CHARS) -> DataFrame:
     """score() of docs by a field learned from them and their labels."""
-    return score(docs, learn(docs, labels, per_class), threshold)
+    return score(docs, learn(docs, labels, per_class, learn_chars), threshold)

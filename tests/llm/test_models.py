@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsemill.llm import ann, quality_classifier, toxicity
+from sparsemill.llm.common import bounded_sample
 
 from .helpers import corpus, frame, prose, simple
 
@@ -101,21 +102,41 @@ def test_near_copies_teach_once():
 # Quality
 
 
-def test_estimates_of_accuracies():
-    """Labellers of known accuracies: the model finds the good share and orders their errors."""
+@pytest.mark.parametrize("n", [20_000, 200_000])
+@pytest.mark.parametrize(("good_share", "fires", "alarms", "within"), [(0.85, [0.9] * 7, [0.02] * 7, 0.05), (0.85, [0.7, 0.6, 0.5, 0.4, 0.5], [0.001, 0.002, 0.004, 0.001, 0.002], 0.05), (0.95, [0.8, 0.6, 0.7, 0.9, 0.5], [0.01] * 5, 0.1)])
+def test_estimates_of_accuracies(n, good_share, fires, alarms, within):
+    """Labellers of known accuracies: the model finds them and the good share, at every size; less well where most lone alarms are errors."""
     rng = np.random.default_rng(2)
-    good = rng.random(20_000) < 0.85
-    votes = np.zeros((20_000, 5), np.int64)
-    for k, (miss, alarm) in enumerate([(0.3, 0.001), (0.4, 0.002), (0.5, 0.004), (0.6, 0.001), (0.5, 0.002)]):
-        bad_vote = np.where(good, rng.random(20_000) < alarm, rng.random(20_000) > miss)
-        votes[:, k] = np.where(bad_vote, quality_classifier.BAD, quality_classifier.GOOD)
-    patterns, times = np.unique(votes, axis=0, return_counts=True)
+    good = rng.random(n) < good_share
+    votes = np.stack([np.where(rng.random(n) < np.where(good, a, f), quality_classifier.BAD, quality_classifier.GOOD) for f, a in zip(fires, alarms, strict=True)], axis=1)
+    patterns, at, times = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     share, chance, posterior = quality_classifier.estimate(patterns, times.astype(float))
-    assert abs(share - 0.85) < 0.05
-    assert (chance[:, 1, quality_classifier.BAD] > 20 * chance[:, 0, quality_classifier.BAD]).all()
-    index = {tuple(p): g for p, g in zip(patterns.tolist(), posterior.tolist(), strict=True)}
-    called = np.array([index[tuple(v)] for v in votes.tolist()]) >= 0.5
-    assert (called == good).mean() > 0.97
+    assert abs(share - good_share) < 0.02
+    assert np.abs(chance[:, 1, quality_classifier.BAD] - fires).max() < within
+    assert np.abs(chance[:, 0, quality_classifier.BAD] - alarms).max() < 0.01
+    assert ((posterior[at.ravel()] >= 0.5) == good).mean() > 0.97
+
+
+def test_kinds_of_bad_texts():
+    """Labellers that are each sure of another kind: none is taken for noise among good texts."""
+    kinds = np.repeat([-1, 0, 1, 2, 3], [8000, 700, 300, 300, 250])
+    votes = np.zeros((len(kinds), 4), np.int64)
+    for k in range(4):
+        votes[kinds == k, k] = quality_classifier.BAD
+    patterns, at, times = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    share, _, posterior = quality_classifier.estimate(patterns, times.astype(float))
+    assert ((posterior[at.ravel()] >= 0.5) == (kinds < 0)).all() and abs(share - 8000 / len(kinds)) < 0.02
+
+
+def test_samples_are_bounded_in_rows_and_characters(spark):
+    rows = [(1, "a" * 50)] * 5 + [(1, f"b{k:02}") for k in range(30)] + [(k, "c" * 10) for k in range(10, 40)]
+    docs = simple(spark, rows).select("doc_id", "text", (F.col("doc_id") % 2).alias("by"))
+    got = bounded_sample(docs, 12, 100, "by").collect()
+    assert len({(r.doc_id, r.text) for r in got}) == len(got)
+    for value in (0, 1):
+        own = [r for r in got if r.by == value]
+        assert 8 <= len(own) <= 12 and sum(len(r.text) for r in own) <= 100
+    assert len(bounded_sample(docs, 1000, 10**6).collect()) == len(set(rows)) and bounded_sample(docs.limit(0), 5, 5, "by").count() == 0
 
 
 def quality_corpus():
@@ -203,7 +224,8 @@ def test_one_rule_at_every_size(spark):
     centers = rng.normal(size=(30, 64))
     rows = [(i, np.float32(centers[i % 30] + rng.normal(scale=0.5, size=64)).astype(float)) for i in range(1500)]
     assert hits(spark, rows, 10) >= 0.9
-    assert hits(spark, rows, 10, tables=1, probed=0.3) < 0.99
+    spread = [(i, rng.normal(size=64).astype(np.float32).astype(float)) for i in range(1500)]
+    assert hits(spark, spread, 10, tables=1, probed=0.5) < 0.99
     assert [ann.hashes_for(n) for n in (2, 500, 10_000, 10**6, 10**9)] == [3, 5, 6, 7, 10]
     assert ann.TABLES * ann.PROBED / 1500 ** (1 / 3) < 0.35
 
