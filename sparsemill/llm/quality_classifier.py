@@ -4,14 +4,18 @@ Labellers vote good, bad or nothing on each text. What all of them say together
 a vote pattern; how often each pattern occurs in the whole corpus is a small table
 (3^labellers rows at most), from which expectation-maximisation estimates the
 share of good texts and each labeller's chances of each vote on good and on bad
-ones. Priors say that labellers overlap but
-little, as there are many ways to be bad, and seldom call a good text bad. The posterior of a text's pattern is its soft label.
+ones. Texts are bad in several ways: the bad class is a mixture of as many kinds as
+there are labellers, each of which starts where one labeller is sure and the others
+are not; good texts start as those that are seldom called bad. A labeller's accuracy on bad texts
+is its mean over the kinds. The prior weighs as much as a few texts, whatever the
+corpus, and a vote for nothing tells nothing. Where labellers err on few bad texts together, a lone
+bad vote may be an error or a kind of its own; votes alone can't tell, and it counts as a kind. The posterior of a text's pattern is its soft label.
 
 A logistic scorer learns the soft labels from hashed features: 3-grams of
 character classes (letters by case, digits, blanks, each other character itself),
 which don't depend on language, and binned counts. It learns from `sample`
-documents at most, those with the smallest hashes of their ids, which bounds what
-the driver reads; patterns are counted over, and scores given to, every document.
+rows and `learn_chars` characters at most, those with the smallest hashes of their ids,
+rows that no longer fit passed over, which bounds what the driver reads; patterns are counted over, and scores given to, every document.
 
 Defined results: a null text is an empty one; a text without words is scored like
 any other; equal rows get equal scores; rows of null ids are scored, and may not
@@ -28,12 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_text, steps, stored
+from .common import as_bytes, bounded_sample, id_text, steps, stored
 from .quality_rules import COUNTS, count_texts
 
 GOOD, BAD, NOTHING = 0, 1, 2
 GRAM_BITS = 14
 SAMPLE = 6000
+#: Characters of all texts that are learned from.
+LEARN_CHARS = 24_000_000
+#: Texts that the prior counts for, in each class.
+PRIOR = 4.0
+#: The same for what a kind's other labellers say.
+OTHERS = 0.5
 
 
 @dataclass(frozen=True)
@@ -54,37 +64,44 @@ class Labeller:
 
 LABELLERS = (
     Labeller("symbols", "n_symbols", "n_words", 0.02, 0.25),
-    Labeller("symbol_letters", "n_symbols", "word_chars", 0.005, 0.08),
     Labeller("upper", "n_upper", "word_chars", 0.15, 0.4, 5),
     Labeller("marks", "n_marks", "n_words", 0.03, 0.5),
     Labeller("repeats", "n_repeat_words", "n_words", 0.25, 0.6, 50),
-    Labeller("some_repeats", "n_repeat_words", "n_words", 0.15, 0.4, 50),
     Labeller("dup_lines", "n_dup_lines", "n_lines", 0.1, 0.6, 50),
 )
 
 
-def estimate(patterns: np.ndarray, times: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
+def estimate(patterns: np.ndarray, times: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
     """Share of good texts, chances [labeller, class, vote], and each pattern's posterior of good. patterns: votes, a row each."""
     m = patterns.shape[1]
     seen = np.eye(3)[patterns]  # pattern, labeller, vote
-    # Pseudo-counts in proportion to the corpus, so that they weigh the same at every size.
-    prior = np.array([[0.897, 0.003, 0.10], [0.70, 0.20, 0.10]]) * max(1.0, 0.3 * times.sum())
-    chance = np.repeat((prior / prior.sum(axis=1, keepdims=True))[None], m, axis=0)
-    share = 0.8
-    good = np.full(len(patterns), share)
+    # Class 0 is good, class k + 1 the kind of bad texts that labeller k is sure of: chances of a bad vote, among votes for good or bad.
+    alarm = np.full((m, m + 1), 0.2)
+    alarm[:, 0] = 0.003
+    alarm[np.arange(m), np.arange(m) + 1] = 0.9
+    # The prior holds that good texts are seldom called bad, and that each kind has its labeller.
+    prior = OTHERS * np.stack([1 - alarm, alarm], axis=2)
+    for kind in [np.zeros(m, int), np.arange(m) + 1]:
+        own = alarm[np.arange(m), kind]
+        prior[np.arange(m), kind] = PRIOR * np.stack([1 - own, own], axis=1)
+    share = np.append(0.8, np.full(m, 0.2 / m))
+    prior_share = PRIOR * share
+    post = np.repeat(share[None], len(patterns), axis=0)
     for _ in range(rounds):
-        like = np.exp(np.einsum("plv,lcv->pc", seen, np.log(chance)))
-        joint = like * np.array([share, 1 - share])
-        new = joint[:, 0] / joint.sum(axis=1)
-        done = np.abs(new - good).max(initial=0.0) < 1e-9
-        good = new
-        weight = np.stack([good, 1 - good], axis=1) * times[:, None]
-        share = float(np.clip((weight[:, 0].sum() + 1) / (times.sum() + 2), 0.01, 0.99))
-        chance = np.einsum("pc,plv->lcv", weight, seen) + prior
-        chance /= chance.sum(axis=2, keepdims=True)
+        like = np.exp(np.einsum("plv,lcv->pc", seen[:, :, :2], np.log(np.stack([1 - alarm, alarm], axis=2))))
+        joint = like * share
+        new = joint / joint.sum(axis=1, keepdims=True)
+        done = np.abs(new - post).max(initial=0.0) < 1e-9
+        post = new
+        weight = post * times[:, None]
+        share = (weight.sum(axis=0) + prior_share) / (times.sum() + PRIOR)
+        votes = np.einsum("pc,plv->lcv", weight, seen[:, :, :2]) + prior
+        alarm = votes[:, :, 1] / votes.sum(axis=2)
         if done:
             break
-    return share, chance, good
+    both = np.stack([weight[:, 0], weight[:, 1:].sum(axis=1)], axis=1)
+    chance = np.einsum("pc,plv->lcv", both, seen) + np.stack([prior[:, 0], prior[:, 1:].mean(axis=1)], axis=1) @ np.eye(2, 3)
+    return float(share[0]), chance / chance.sum(axis=2, keepdims=True), post[:, 0]
 
 
 def _classes() -> np.ndarray:
@@ -161,7 +178,7 @@ def train(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, soft: np.ndar
     return Scorer(w)
 
 
-def learn(docs: DataFrame, counted: DataFrame, sample: int = SAMPLE) -> Scorer | None:
+def learn(docs: DataFrame, counted: DataFrame, sample: int = SAMPLE, learn_chars: int = LEARN_CHARS) -> Scorer | None:
     """A scorer for docs (doc_id, text), whose counts are given; None for an empty table."""
     votes = [x.vote().alias(f"v{k}") for k, x in enumerate(LABELLERS)]
     table = counted.select(*votes).groupBy(*[f"v{k}" for k in range(len(votes))]).count().orderBy(*[f"v{k}" for k in range(len(votes))]).collect()
@@ -171,7 +188,8 @@ def learn(docs: DataFrame, counted: DataFrame, sample: int = SAMPLE) -> Scorer |
     _, _, good = estimate(rows[:, :-1], rows[:, -1].astype(float))
     posterior = {tuple(r[:-1]): g for r, g in zip(rows.tolist(), good.tolist(), strict=True)}
     some = counted.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    texts = id_text(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text")
+    # An id may have any number of rows: rows are bounded after ids are.
+    texts = bounded_sample(id_text(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text"), sample, learn_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +202,9 @@ def learn(docs: DataFrame, counted: DataFrame, sample: int = SAMPLE) -> Scorer |
                     own, n = np.unique(code[a:b][inside[a:b]], return_counts=True)
                     features.append(np.concatenate([own, bins({k: v[i : i + 1] for k, v in counts_.items()})[0]]))
                     values.append(np.concatenate([n * SCALE / max(b - a - 2, FEW), np.ones(len(RATIOS))]))
-                yield pa.RecordBatch.from_arrays([step.column(0), pa.array(features, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64())), *(pa.array(counts_[c]) for c in COUNTS)], ["doc_id", "features", "vals", *COUNTS])
+                yield pa.RecordBatch.from_arrays([step.column(0), step.column(2), pa.array(features, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64())), *(pa.array(counts_[c]) for c in COUNTS)], ["doc_id", "text_key", "features", "vals", *COUNTS])
 
-    found = texts.mapInArrow(run, "doc_id long, features array<long>, vals array<double>, " + ", ".join(f"{c} long" for c in COUNTS)).select("doc_id", "features", "vals", *votes).toArrow().combine_chunks().sort_by("doc_id")
+    found = texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, features array<long>, vals array<double>, " + ", ".join(f"{c} long" for c in COUNTS)).select("doc_id", "features", "vals", "text_key", *votes).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("text_key", "ascending")])
     if not found.num_rows:
         return None
     lists, value = found.column("features").combine_chunks(), found.column("vals").combine_chunks()
@@ -206,10 +224,10 @@ def count_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, learn_chars: int = LEARN_CHARS, id_col: str = "doc_id", text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
     """docs with score_col: the probability that a row's text is good, 1 where nothing could be learned. Rows under the threshold are the rejected ones."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scorer = learn(rows, stored(count_all(rows), "counts"), sample)
+    scorer = learn(rows, stored(count_all(rows), "counts"), sample, learn_chars)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
