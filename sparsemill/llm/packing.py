@@ -16,7 +16,8 @@ group of equal lengths is gathered in a task.
 
 Tokens: ids of a `tokenizers` file, and an end id. Texts of common characters,
 which are split alike everywhere, are encoded by tiktoken with the same
-vocabulary, about six times as fast; all others by tokenizers itself.
+vocabulary, about six times as fast; all others, and those that hold the string of
+a special or other added token, by tokenizers itself.
 
 Defined results: a null or empty text is the end id alone, one piece; equal rows
 are packed each; a null doc_id stays null; an empty table gives an empty one.
@@ -42,26 +43,24 @@ from .common import id_text, steps, stored
 
 #: Anything but characters whose classes (letter, digit, blank, other) all versions of Unicode agree on: printable
 #: ASCII, tab and line feed; Latin, Greek, Cyrillic, kana and the first Han letters; Latin-1's and general punctuation.
-UNUSUAL = re.compile("[^\t\n\x20-\x7e\xa1-\xac\xae-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u20a0-\u20b1\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
+UNUSUAL = "[^\t\n\x20-\x7e\xa1-\xac\xae-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u20a0-\u20b1\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Ids of longer texts are always from tokenizers.
-FAST_LENGTH = 1 << 20
 
 
 class Encoder:
-    """Ids as tokenizers gives them, special tokens' strings in a text being ordinary text."""
+    """Ids as tokenizers gives them without adding special tokens: those that stand in a text are known."""
 
     def __init__(self, path: str):
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         back = {c: b for b, c in enumerate(byte_characters())}
         pieces = self.exact.get_vocab(with_added_tokens=False)
-        special = {t.content for t in self.exact.get_added_tokens_decoder().values()}
-        ranks = {bytes(map(back.__getitem__, p)): i for p, i in pieces.items() if p not in special}
+        added = {t.content for t in self.exact.get_added_tokens_decoder().values()}
+        ranks = {bytes(map(back.__getitem__, p)): i for p, i in pieces.items() if p not in added}
+        self.unusual = re.compile("|".join([UNUSUAL, *map(re.escape, sorted(added))]))
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(text) <= FAST_LENGTH and not UNUSUAL.search(text):
+        if not self.unusual.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -207,8 +206,6 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_c
         sequence += times
     table = {length: np.array(x, np.int64).T for length, x in slots.items()}
     # Patterns number a few times the capacity, whatever the corpus: each step uses up a length or a kind of open sequence.
-    if sum(x.shape[1] for x in table.values()) > 64 * capacity + 4096:
-        raise AssertionError("a plan of unforeseen size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -60,7 +61,6 @@ def test_empty_table(spark):
 
 def test_pack(spark):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(frame(spark), JSON).collect()
     docs = Counter()
     for i, t in texts():
@@ -131,13 +131,19 @@ def test_plan_uses_each_piece_once_and_no_more_than_fits():
 def test_fast_ids_are_the_exact_ones():
     e = packing.encoder(JSON)
     rng = random.Random(1)
-    usual = [chr(c) for c in [9, 10, *range(0x20, 0xA000)] if not packing.UNUSUAL.match(chr(c))]
+    usual = [chr(c) for c in [9, 10, *range(0x20, 0xA000)] if not re.match(packing.UNUSUAL, chr(c))]
     assert len(usual) > 20_000
     for k in range(3000):
         some = [rng.choice(usual) for _ in range(6)] + list("ab  1's.\n") if k % 2 else list("ab  é\nÑ1'st9,.-ü\tßŁ")
         text = "".join(rng.choice(some) for _ in range(rng.randint(0, 60)))
-        assert not packing.UNUSUAL.search(text)
+        assert not e.unusual.search(text)
         assert e.fast.encode_ordinary(text) == e.exact.encode(text, add_special_tokens=False).ids, text
     every = "".join(f"a{c}1 {c}{c}" for c in usual)  # each of them between a letter, a digit and a blank
     assert e.fast.encode_ordinary(every) == e.exact.encode(every, add_special_tokens=False).ids
+    long = "plain words and 12 numbers. " * 60_000
+    assert e(long).tolist() == e.exact.encode(long, add_special_tokens=False).ids
+    plain = Tokenizer.from_file(JSON)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "x<|endoftext|><|endoftext|>\n"):
+        assert e(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert e("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
     assert e("<|endoftext|>\u2028x").tolist() == e.exact.encode("<|endoftext|>\u2028x", add_special_tokens=False).ids
