@@ -1,19 +1,21 @@
 """Quality rules whose cutoffs are certified on labelled holdouts by exact binomial bounds.
 
 Each text is counted once; rules compare a ratio of counts with a cutoff, in each
-stratum. A third of the labelled good documents (by crc32 of the id) selects, the
-rest certify: going from lenient to strict, a cutoff is certified while the exact
-binomial probability of so few false rejections, were the risk above its limit,
-stays within the error level. Levels are shared out over strata and rules
-(Bonferroni); within a rule, testing in a fixed order that stops at the first
-failure needs no further correction. The risk limit is shared out over rules, so
-that with probability 1 - delta no stratum rejects more than `risk` of its good
-documents by all rules together. Of the certified cutoffs, the one is used that
-parts the selection third best; a rule that doesn't help there stays off.
+stratum. A third of the labelled texts (by their hash) chooses: step by step, the
+rule and cutoff that part the texts best that earlier steps left, until none helps.
+The other two thirds certify: a step is taken while the exact binomial probability
+of so few false rejections by all steps so far, were the chance of one above
+`risk`, stays within the error level. Testing in a fixed order that stops at the
+first failure needs no correction; levels are shared out over the strata that chose
+any step (Bonferroni), which the certifying texts had no part in. So with
+probability 1 - delta no stratum rejects more than `risk` of its good texts by all
+its rules together.
+
+Trials are distinct texts: copies of a text count once, and all fall to one third.
 
 Defined results: a null text has no words; rows of null lang, or of a lang that is
 no stratum, form one more stratum; repeated labels of a document count once, as
-bad if any is bad; null labels don't count; without labels only the base rules
+bad if any is bad, and so do labels of equal texts; null labels don't count; without labels only the base rules
 hold; an empty table gives an empty one; equal rows give equal rows.
 """
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod, steps, stored
+from .common import as_bytes, steps, stored
 from .text import BLANK, sums, word_bounds
 
 SYMBOLS = np.zeros(256, bool)
@@ -105,16 +107,16 @@ def count_texts(texts: pa.Array) -> list[np.ndarray]:
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", strata: Sequence[str] = STRATA) -> DataFrame:
-    """doc_id, stratum and COUNTS of each row's whole text."""
+    """doc_id, stratum, text_key (a hash of the text) and COUNTS of each row's whole text."""
     lang = F.col(stratum_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.when(lang.isin(*strata), lang).otherwise("other").alias("stratum"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.when(lang.isin(*strata), lang).otherwise("other").alias("stratum")).withColumn("text_key", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch):
-                yield pa.RecordBatch.from_arrays([step.column(0), step.column(2), *(pa.array(x, pa.int64()) for x in count_texts(step.column(1)))], ["doc_id", "stratum", *COUNTS])
+                yield pa.RecordBatch.from_arrays([step.column(0), step.column(2), step.column(3), *(pa.array(x, pa.int64()) for x in count_texts(step.column(1)))], ["doc_id", "stratum", "text_key", *COUNTS])
 
-    return rows.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(run, "doc_id long, stratum string, text_key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -147,12 +149,12 @@ def _fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-def certified(bad_above: np.ndarray, n: int, risk: float, level: float) -> int:
-    """The strictest certified cutoff's index, testing from the last (lenient) one down; len(bad_above) if none is. bad_above[i]: good documents that cutoff i rejects."""
-    at = len(bad_above)
-    while at and n and binomial_tail(int(bad_above[at - 1]), n, risk) <= level:
-        at -= 1
-    return at
+def certified(rejected: np.ndarray, n: int, risk: float, level: float) -> int:
+    """How many steps are certified, in order. rejected[j]: good ones of n that the first j + 1 steps reject."""
+    done = 0
+    while done < len(rejected) and n and binomial_tail(int(rejected[done]), n, risk) <= level:
+        done += 1
+    return done
 
 
 def _bin(rule: Rule) -> Column:
@@ -160,25 +162,59 @@ def _bin(rule: Rule) -> Column:
     return F.least(F.ceil(ratio * (BINS / rule.top)), F.lit(BINS)).cast("int")
 
 
+#: (rule's name, cutoff's index): a step rejects texts whose ratio exceeds index * top / BINS.
+Step = tuple[str, int]
+
+
+def _first_step(paths: dict[str, list[Step]]) -> Column:
+    """The number of the first step that rejects a row (stratum, and each rule's bin as `bin_` and its name); null if none does."""
+    found = F.lit(None).cast("int")
+    for stratum, path in paths.items():
+        for j, (name, at) in reversed(list(enumerate(path))):
+            found = F.when((F.col("stratum") == stratum) & (F.col(f"bin_{name}") > at), j).otherwise(found)
+    return found
+
+
+def choose(rows: DataFrame, cost: float, rules: Sequence[Rule], strata: Sequence[str]) -> dict[str, list[Step]]:
+    """Steps of each stratum that help on rows (stratum, good, bins), best first. One aggregation for all strata's next steps."""
+    paths: dict[str, list[Step]] = {s: [] for s in strata}
+    growing = set(strata)
+    bins = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"bin_{r.name}").alias("bin")) for r in rules]))
+    while growing:
+        left = rows.where(_first_step(paths).isNull() & F.col("stratum").isin(*sorted(growing)))
+        seen = {(s, r.name): np.zeros((2, BINS + 1), np.int64) for s in growing for r in rules}
+        for row in left.select("stratum", "good", bins.alias("x")).groupBy("stratum", "good", "x.rule", "x.bin").count().collect():  # strata x rules x bins x 2 rows at most
+            seen[row.stratum, row.rule][int(row.good), row.bin] = row["count"]
+        for stratum in sorted(growing):
+            best = (0.0, 0, "")
+            for r in rules:
+                n = seen[stratum, r.name]
+                above = n.sum(axis=1, keepdims=True) - n.cumsum(axis=1)  # in bins over i
+                gain = above[0, :BINS] - cost * above[1, :BINS]
+                at = int(np.flatnonzero(gain == gain.max())[-1])
+                best = max(best, (float(gain[at]), at, r.name))
+            if best[0] > 0:
+                paths[stratum].append((best[2], best[1]))  # each step rejects some text that is left: there is a last one
+            if best[0] <= 0 or len(paths[stratum]) == 4 * len(rules):
+                growing.discard(stratum)
+    return paths
+
+
 def learn(counted: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, cost: float = 20.0, rules: Sequence[Rule] = RULES, strata: Sequence[str] = STRATA) -> dict[tuple[str, str], int]:
-    """(stratum, rule) -> cutoff's index i: documents are rejected whose ratio exceeds i * top / BINS. cost: rejected bad documents that weigh up a rejected good one in the selection third."""
+    """(stratum, rule) -> cutoff's index. cost: rejected bad texts that weigh up a rejected good one in the choosing third."""
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = counted.where(~base_failed()).join(marked, "doc_id")
-    rows = rows.withColumn("holdout", crc_mod("doc_id", 3) != 0)
-    bins = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), _bin(r).alias("bin")) for r in rules]))
-    table = rows.select("stratum", "quality", "holdout", bins.alias("x")).select("stratum", "holdout", (F.col("quality") == 1).alias("good"), "x.*")
-    # strata x rules x bins x 4 rows at most.
-    seen = {(s, r): np.zeros((2, 2, BINS + 1), np.int64) for s in (*strata, "other") for r in (x.name for x in rules)}
-    for row in table.groupBy("stratum", "rule", "bin", "holdout", "good").count().collect():
-        seen[row.stratum, row.rule][int(row.holdout), int(row.good), row.bin] = row["count"]
-    cutoffs = {}
-    for key, n in seen.items():
-        above = n.sum(axis=2, keepdims=True) - n.cumsum(axis=2)  # in bins over i
-        at = certified(above[1, 1, :BINS], int(n[1, 1].sum()), risk / len(rules), delta / len(seen))
-        gain = above[0, 0, :BINS] - cost * above[0, 1, :BINS]
-        allowed = [i for i in range(at, BINS) if gain[i] > 0]
-        if allowed:
-            cutoffs[key] = max(allowed, key=lambda i: (gain[i], i))
+    rows = counted.where(~base_failed()).select("doc_id", "stratum", "text_key", *[_bin(r).alias(f"bin_{r.name}") for r in rules]).join(marked, "doc_id")
+    rows = rows.groupBy("stratum", "text_key").agg((F.min("quality") == 1).alias("good"), *[F.first(f"bin_{r.name}").alias(f"bin_{r.name}") for r in rules])
+    rows = stored(rows.withColumn("holdout", F.pmod("text_key", F.lit(3)) != 0), "labelled")
+    paths = choose(rows.where("not holdout"), cost, rules, (*strata, "other"))
+    counts_ = rows.where("holdout and good").groupBy("stratum", _first_step(paths).alias("step")).count().collect()  # strata x steps rows
+    cutoffs: dict[tuple[str, str], int] = {}
+    tested = sum(1 for path in paths.values() if path)
+    for stratum, path in paths.items():
+        own = {r.step: r["count"] for r in counts_ if r.stratum == stratum}
+        rejected = np.cumsum([own.get(j, 0) for j in range(len(path))])
+        for name, at in path[: certified(rejected, sum(own.values()), risk, delta / max(1, tested))]:
+            cutoffs[stratum, name] = min(at, cutoffs.get((stratum, name), BINS))
     return cutoffs
 
 

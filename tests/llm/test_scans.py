@@ -50,9 +50,22 @@ def test_binomial_tail_is_exact():
 
 
 def test_certified_stops_at_the_first_failure():
-    above = np.array([400, 30, 0, 50, 0, 0])
-    assert quality_rules.certified(above, 1000, 0.02, 0.01) == 4
-    assert quality_rules.certified(above, 10, 0.02, 0.01) == 6 and quality_rules.certified(above, 0, 0.02, 0.01) == 6
+    assert quality_rules.certified(np.array([0, 4, 40, 40]), 1000, 0.02, 0.01) == 2
+    assert quality_rules.certified(np.array([0, 0]), 59, 0.05, 0.05) == 2 and quality_rules.certified(np.array([0, 0]), 58, 0.05, 0.05) == 0
+    assert quality_rules.certified(np.array([0]), 0, 0.05, 0.05) == 0 and quality_rules.certified(np.array([], int), 100, 0.05, 0.05) == 0
+
+
+def test_bound_holds_over_many_draws():
+    """Steps of growing true risk, five strata: how often any of them is certified beyond its risk."""
+    rng = np.random.default_rng(12)
+    risks, n, over = np.cumsum([0.01, 0.02, 0.025, 0.1]), 400, 0
+    draws = 4000
+    for _ in range(draws):
+        each = rng.multinomial(n, [*np.diff(np.append(0, risks)), 1 - risks[-1]], size=5)
+        taken = [quality_rules.certified(np.cumsum(x[:-1]), n, 0.05, 0.05 / 5) for x in each]
+        over += any(k and risks[k - 1] > 0.05 for k in taken)
+    assert over / draws <= 0.05
+    assert over / draws > 0.001, "the third step's risk is close to the limit: it has to be certified now and then"
 
 
 def test_risk_is_kept(spark):
@@ -68,6 +81,9 @@ def test_risk_is_kept(spark):
     got = quality_rules.judge(simple(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"))
     kept = {r.doc_id: r.kept for r in got.collect()}
     assert all(kept[i] == (i % 5 != 0) for i in range(6000))
+    copies = [(10_000 + k, rows[1][1]) for k in range(400)]
+    few = quality_rules.judge(simple(spark, rows[:100] + copies), spark.createDataFrame(labels[:100] + [(i, 1) for i, _ in copies], "doc_id long, quality int"))
+    assert all(r.kept for r in few.collect()), "copies of a text are one trial"
     few = quality_rules.judge(simple(spark, rows[:100]), spark.createDataFrame(labels[:100], "doc_id long, quality int"))
     assert all(r.kept for r in few.collect()), "too few labels to certify anything"
 
