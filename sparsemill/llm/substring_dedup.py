@@ -7,6 +7,8 @@ SHORTEST bytes. As cuts follow the content, an insertion moves them only near
 itself. Chunks are counted by digest; of equal chunks the first by (doc_id,
 text key, place) stays. Runs of neighbouring repeated chunks with min_words words or more are
 passages; the chunks of a passage that aren't the first of their kind are cut out.
+A word of LONG_WORD bytes or more counts as one word for every WORD_BYTES of it.
+Texts are read and chunked once.
 
 A digest may have any number of places: counting is pre-aggregated, and places
 meet the repeated digests in joins of two plain shuffles, which adaptive execution
@@ -31,10 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, id_text, steps, stored
+from .text import BLANK, word_bounds
 
 SHORTEST, LONGEST = 16, 1000
 #: A blank is a cut if this many top bits of the hash are zero.
 CUT_BITS = 2
+#: Without a blank for so many bytes, any character may be a cut, by so many bits.
+UNSPACED, BARE_BITS = 48, 4
+#: Words as long as this count by their bytes.
+LONG_WORD, WORD_BYTES = 48, 6
 #: 256 random words, from a fixed seed.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 NO_ID = -(1 << 63)
@@ -57,10 +64,14 @@ def cuts(text: bytes) -> list[int]:
     if n == 0:
         return []
     data = np.frombuffer(text, np.uint8)
-    blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    blank[:-1] &= ~blank[1:]  # the last of a run of blanks
-    at = blank & ((gear_hashes(data) >> np.uint32(32 - CUT_BITS)) == 0)
+    blank, h, place = BLANK[data], gear_hashes(data), np.arange(n)
+    at = blank & ((h >> np.uint32(32 - CUT_BITS)) == 0)
+    at[:-1] &= ~blank[1:]  # the last of a run of blanks
     at |= data == 0x0A
+    bare = place - np.maximum.accumulate(np.where(blank, place, -1)) >= UNSPACED
+    if bare.any():
+        bare[:-1] &= data[1:] & 0xC0 != 0x80  # not within a character
+        at |= bare & ((h >> np.uint32(32 - BARE_BITS)) == 0)
     out, last = [], 0
     for end in (np.flatnonzero(at) + 1).tolist() + [n]:
         while end - last > LONGEST:
@@ -75,6 +86,19 @@ def cuts(text: bytes) -> list[int]:
     return out
 
 
+def words_between(text: bytes, ends: list[int]) -> list[int]:
+    """Words of each chunk, given their ends: those that begin there, and a share of long ones."""
+    data = np.frombuffer(text, np.uint8)
+    starts, stops, _ = word_bounds(~BLANK[data], np.array([0, len(data)]))
+    sixths = np.zeros(len(data) + 1, np.int64)  # of a word: WORD_BYTES parts
+    long = stops - starts >= LONG_WORD
+    sixths[starts[~long]] = WORD_BYTES
+    for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
+        sixths[a:b] = 1
+    total = np.concatenate([[0], np.cumsum(sixths)])[[0, *ends]]
+    return (-(-np.diff(total) // WORD_BYTES)).tolist()
+
+
 def digests(text: bytes) -> list[tuple[int, int, int, int]]:
     """(start, end, digest's upper and lower 64 bits, signed) of each chunk. Blanks at a chunk's end don't count: a passage may end a line here and a sentence there."""
     found, start = [], 0
@@ -93,8 +117,8 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for step in steps(batch):
                 ids, keys, place, upper, lower = [], [], [], [], []
                 for doc_id, r, text in zip(step.column(0).to_pylist(), step.column(2).to_pylist(), step.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    for start, end, a, b in digests(text):
-                        words = len(text[start:end].split())
+                    found = digests(text)
+                    for (start, end, a, b), words in zip(found, words_between(text, [x[1] for x in found]), strict=True):
                         if words:
                             ids.append(doc_id)
                             keys.append(r)
@@ -109,9 +133,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def repeated_chunks(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, r, start, stop, words, upper, lower, first_id, removed, run_start: chunks of passages that are found more than once (places in bytes)."""
+    every = stored(chunks(docs, id_col, text_col), "chunks")
     # Half the digest finds what may repeat; the places of those few carry all of it.
-    often = stored(chunks(docs, id_col, text_col).groupBy("upper").count().where("count > 1").select("upper"), "often")
-    places = stored(chunks(docs, id_col, text_col).join(often, "upper"), "places")
+    often = stored(every.groupBy("upper").count().where("count > 1").select("upper"), "often")
+    places = stored(every.join(often, "upper"), "places")
     first = places.groupBy("upper", "lower").agg(F.min(F.struct("doc_id", "r", "place")).alias("first"), F.max(F.struct("doc_id", "r", "place")).alias("last"))
     first = stored(first.where("first <> last").select("upper", "lower", F.col("first.doc_id").alias("first_id"), F.col("first.r").alias("first_r"), F.col("first.place").alias("first_place")), "first")
     start = F.shiftright("place", 20)
@@ -137,30 +162,24 @@ def deduplicate(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", te
     """docs with out_col: the text without passages that stand earlier, and out_col + '_chunks': how many chunks went. A null text stays null."""
     gone = (chunks_found if chunks_found is not None else repeated_chunks(docs, min_words, id_col, text_col)).where("removed")
     gone_id, gone_r, dropped, cut = fresh(docs, "gone_id", "gone_r", "gone", "cut")
-    gone = gone.groupBy(F.col("doc_id").alias(gone_id), F.col("r").alias(gone_r)).agg(F.collect_list(F.struct("start", "upper", "lower")).alias(dropped))
+    gone = gone.groupBy(F.col("doc_id").alias(gone_id), F.col("r").alias(gone_r)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(dropped))
 
-    @F.arrow_udf("struct<text:string,chunks:int>")
+    @F.arrow_udf("string")
     def without(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        out, chunks_ = [], []
         flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))])
-        start, upper, lower = (flat.field(f).to_pylist() for f in ("start", "upper", "lower"))
+        start, stop = (flat.field(f).to_pylist() for f in ("start", "stop"))
+        out = []
         for k in range(len(texts)):
             text, own = texts[k].as_py(), slice(ends[k], ends[k + 1])
-            if text is None:
-                out.append(None)
-                chunks_.append(0)
-                continue
-            drop = set(zip(start[own], upper[own], lower[own], strict=True))
-            data = text.encode()
-            every = digests(data)
-            kept = [(a, b) for a, b, u, v in every if (a, u, v) not in drop]
-            out.append(b"".join(data[a:b] for a, b in kept).decode())
-            chunks_.append(len(every) - len(kept))
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(chunks_, pa.int32())], ["text", "chunks"])
+            if text is not None:
+                data = text.encode()
+                text = b"".join(data[a:b] for a, b in zip([0, *stop[own]], [*start[own], len(data)], strict=True)).decode()
+            out.append(text)
+        return pa.array(out, pa.string())
 
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(gone_id)
     joined = docs.join(gone, own & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(gone_r)), "left")
     # Only texts that lose something go through Python.
     done = joined.withColumn(cut, without(F.when(F.col(dropped).isNotNull(), F.col(text_col).cast("string")), F.col(dropped)))
-    kept = F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(F.col(f"{cut}.text"))
-    return done.select(*docs.columns, kept.alias(out_col), F.coalesce(f"{cut}.chunks", F.lit(0)).alias(f"{out_col}_chunks"))
+    kept = F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(F.col(cut))
+    return done.select(*docs.columns, kept.alias(out_col), F.greatest(F.size(dropped), F.lit(0)).alias(f"{out_col}_chunks"))
