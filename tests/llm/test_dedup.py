@@ -203,6 +203,23 @@ def test_templates(spark):
     assert all("User session" not in by[i][1] and by[i][1].count("\n") == 1 for i in range(1, 40))
 
 
+@pytest.mark.parametrize(("n", "m"), [(60, 40), (40, 40), (90, 5)])
+def test_templates_that_share_a_leaf(spark, n, m):
+    """Both are found, and the lines of neither hide those of the other."""
+    rng = random.Random(9)
+    name = lambda: prose(rng, 1)
+    rows = [(i, f"{prose(rng, 12)}\nthank you for visiting our shop dear {name()} please come again") for i in range(n)]
+    rows += [(1000 + i, f"{prose(rng, 12)}\nthank you for reading this blog kindly {name()} subscribe below today") for i in range(m)]
+    rows += [(2000, "a line of its own\nthank you for nothing at all and never ever write again")]
+    documents = pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], dtype="Int64"), "text": pd.array([r[1] for r in rows], dtype="string")})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    out = line_dedup.drop_lines(simple(spark, rows))
+    got = out.select("doc_id", F.col("kept_text_lines").alias("n_lines"), F.col("kept_text_dropped").alias("n_dropped"), F.md5(F.col("kept_text").cast("binary")).alias("text_md5")).collect()
+    same_rows(got, con.sql(line_dedup.oracle()).fetchall())
+    assert {r.doc_id for r in got if not r.n_dropped} == {0, 1000, 2000} and len(got) == n + m + 1
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (None, "a b c d")]])
 def test_nothing_to_drop(spark, rows):
     out = line_dedup.drop_lines(simple(spark, rows)).collect()
