@@ -3,7 +3,8 @@
 Rolling hashes of all k-grams of words of each text are joined in Spark with the
 k-gram positions of the templates, a fixed small table. A hit votes for the
 diagonal text place - template place; votes are summed by diagonal, neighbouring
-diagonals of a long template merge (words may be left out or put in), and spans
+diagonals of a long template merge (words may be left out or put in), both within SLACK and within
+half the template's words, beyond which no span is similar enough; and spans
 with enough votes are verified against the text's own words: phrases exactly,
 longer notices by a matching-blocks similarity of at least 0.8.
 
@@ -15,6 +16,7 @@ any other; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, frame, id_text, steps
+from .common import as_bytes, frame, id_text, steps, stored
 from .text import LOWER, gram_hashes, word_bounds, word_hashes
 
 #: Bytes of words, after lower-casing: digits, a-z and all of non-ASCII characters.
@@ -32,8 +34,10 @@ WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 K = 2
-#: Diagonals of a template of more than SHORT words merge if they are at most SLACK apart.
+#: Diagonals of a template of more than SHORT words merge if they are at most SLACK apart, or half its words.
 SHORT, SLACK = 6, 3
+#: Found spans travel to the texts if they are at most so many (some 24 bytes each); else texts meet them in a shuffle.
+FEW_SPANS = 1_000_000
 SIMILARITY = 0.8
 
 
@@ -117,16 +121,33 @@ def spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: st
     sizes = [len(t.words) for t in templates]
     size = F.element_at(F.array(*map(F.lit, sizes)), F.col("template") + 1)
     order = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > F.when(size > SHORT, SLACK).otherwise(0)).cast("int"), F.lit(1))
-    groups = votes.withColumn("apart", apart).withColumn("bundle", F.sum("apart").over(order))
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(0))
+    half = F.greatest(F.lit(SLACK), F.floor(size / 2))
+    bundle = lambda gap: 1 + F.sum((F.col("far") > F.when(size > SHORT, gap).otherwise(0)).cast("int")).over(order)
+    groups = votes.withColumn("far", far).withColumns({"near": bundle(F.lit(SLACK)), "wide": -bundle(half)})
+    # Both ways of merging, told apart by their sign; for a phrase they are the same.
+    groups = groups.withColumn("bundle", F.explode(F.when(size > SHORT, F.array("near", "wide")).otherwise(F.array("near"))))
     merged = groups.groupBy("doc_id", "text_key", "template", "bundle").agg(F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("first"), F.max(F.col("diagonal") + F.col("high") + K).alias("stop"))
     need = F.when(size > SHORT, F.ceil(0.5 * (size - K + 1))).otherwise(size - K + 1)
-    return merged.where(F.col("votes") >= need).select("doc_id", "text_key", "template", "first", "stop")
+    return merged.where(F.col("votes") >= need).select("doc_id", "text_key", "template", "first", "stop").distinct()
+
+
+def best_spans(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Without spans (label, first, stop, similarity) that lie on a better one of their label; in order."""
+    kept: dict[str, list[tuple[str, int, int, float]]] = {}
+    for x in sorted(found, key=lambda x: (-x[3], x[1], x[2])):
+        own = kept.setdefault(x[0], [])
+        at = bisect.bisect_left(own, x[1], key=lambda y: y[1])
+        if (at == 0 or own[at - 1][2] <= x[1]) and (at == len(own) or own[at][1] >= x[2]):
+            own.insert(at, x)
+    return sorted(x for own in kept.values() for x in own)
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans (label, first, stop, similarity; words from first up to stop) of each row."""
-    found = spans(docs, templates, id_col, text_col).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("template", "first", "stop"))).alias("found"))
+    found = stored(spans(docs, templates, id_col, text_col).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("template", "first", "stop"))).alias("found")), "found")
+    if (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= FEW_SPANS:
+        found = F.broadcast(found)
     rows = id_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     both = rows.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.text_key") == F.col("f.text_key")), "left").select("r.doc_id", "r.text", "f.found")
     fixed = [(t.label, t.base, [w.encode() for w in t.words]) for t in templates]
@@ -153,6 +174,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: str
                             good.append((label, x["first"], x["stop"], similarity))
                             if is_base:
                                 base.append((x["first"], label))
+                    good = best_spans(good)
                     out.append((doc_id, int(at[k + 1] - at[k]), len(base), min(base)[0] if base else None, max(base)[0] if base else None, ",".join(sorted({x for _, x in base})), ",".join(sorted({x[0] for x in good})), max((x[3] for x in good), default=0.0), [dict(zip(SPAN, x, strict=True)) for x in good]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), KINDS, strict=True)], NAMES)
 

@@ -1,15 +1,17 @@
 """Quality rules (1), license scan (4)."""
 
 import math
+import random
 import re
 from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 
 from sparsemill.llm import license_scan, quality_rules
 
-from .helpers import frame, same_rows, simple, texts
+from .helpers import frame, prose, same_rows, simple, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -126,6 +128,46 @@ def test_places(spark):
     assert all(0 <= r.score <= 1 and (r.score > 0) == (r.labels != "") for r in got)
 
 
+def closest(words, template):
+    """The best similarity of any stretch of words with the template."""
+    n = len(template)
+    return max((SequenceMatcher(None, words[a : a + m], template, autojunk=False).ratio() for a in range(len(words)) for m in range(n * 2 // 3, n * 3 // 2 + 1) if a + m <= len(words)), default=0.0)
+
+
+def test_own_labels_against_all_stretches(spark, monkeypatch):
+    """Notices with words left out, put in and changed, among prose; whether they come to the texts or texts to them."""
+    rng = random.Random(17)
+    notices = [t for t in license_scan.TEMPLATES if len(t.words) > license_scan.SHORT]
+    phrases = [t for t in license_scan.TEMPLATES if len(t.words) <= license_scan.SHORT]
+    docs = []
+    for k in range(60):
+        words = list(notices[k % len(notices)].words)
+        at = rng.randrange(1, len(words))
+        kind, much = k % 3, rng.randint(0, len(words) // 3)
+        if kind == 0:
+            words[at:at] = prose(rng, much).split() if much else []
+        elif kind == 1:
+            del words[at : at + much]
+        else:
+            for _ in range(much):
+                words[rng.randrange(len(words))] = "other"
+        docs.append((k, f"{prose(rng, 8)} {' '.join(words)} {prose(rng, 8)}"))
+    docs.append((100, " ".join("Permission is hereby granted free of charge to any person or body here and now obtaining a copy of this software and associated documentation files".split())))
+    for limit in (license_scan.FEW_SPANS, 0):
+        monkeypatch.setattr(license_scan, "FEW_SPANS", limit)
+        got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan.scan(simple(spark, docs)).collect()}
+        sure = 0
+        for i, text in docs:
+            words = LICENSE_WORD.findall(text.translate(LOWER))
+            exact = {t.label for t in phrases if any(words[k : k + len(t.words)] == t.words for k in range(len(words)))}
+            near = {t.label: closest(words, t.words) for t in notices}
+            assert exact <= got[i] <= exact | {x for x, s in near.items() if s >= 0.8}, text
+            if i % 3 == 0 or i == 100:  # left whole but for one gap: to be found wherever it is
+                assert {x for x, s in near.items() if s >= 0.86} <= got[i], text
+            sure += bool({x for x, s in near.items() if s >= 0.8} & got[i])
+        assert sure > 25 and "mit" in got[100]
+
+
 def test_scan_of_an_empty_table(spark):
     assert license_scan.scan(frame(spark, [])).count() == 0
 
