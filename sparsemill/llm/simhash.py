@@ -7,7 +7,8 @@ their four 16-bit quarters. Two fingerprints that differ in at most r bits have
 quarter counts that differ by at most r in sum, so only tiles whose counts are
 that near meet; the others are skipped. A pair of tiles is compared in full by
 numpy's exclusive-or and bit counts, and passes on a spanning forest of the links
-it found: the forests of all pairs connect what the links connect.
+it found: the forests of all pairs connect what the links connect. Comparing grows
+with the square of the distinct fingerprints, of whose pairs about one in 160 meets.
 
 Defined results: a null text is an empty one; a text without words has the
 fingerprint zero, linked like any other; equal rows give equal rows; a null
@@ -31,6 +32,8 @@ from .components import star_forest
 
 #: Fingerprints in a tile, about.
 TILE = 2048
+#: Tiles of one count vector that meet others together; a full count vector is shared out by such groups.
+GROUP = 16
 QUARTERS = 4
 
 
@@ -118,8 +121,11 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     placed = keyed.join(sizes, "counts").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")))
     tiles = stored(placed.groupBy("counts", "tile").agg(F.collect_list("fp").alias("fps")), "tiles")
     shifts = [sum(d * s for d, s in zip(x, spread, strict=True)) for x in _near_counts(radius)]
+    groups = F.broadcast(tiles.groupBy("counts").agg(F.floor(F.max("tile") / GROUP).alias("last")))
     left = tiles.select(F.col("counts").alias("own"), F.col("tile").alias("own_tile"), F.col("fps").alias("x"), F.explode(F.array(*map(F.lit, shifts))).alias("shift")).withColumn("counts", F.col("own") + F.col("shift"))
-    pairs = left.join(tiles.select("counts", "tile", F.col("fps").alias("y")), "counts").where("shift <> 0 or own_tile <= tile").select("x", "y")
+    left = left.join(groups, "counts").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    right = tiles.select("counts", "tile", F.floor(F.col("tile") / GROUP).alias("group"), F.col("fps").alias("y"))
+    pairs = left.join(right, ["counts", "group"]).where("shift <> 0 or own_tile <= tile").select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
