@@ -47,6 +47,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    rows = [(1, "one text of eight words under this id"), (1, "quite another one that shares nothing with it"), (1, "one text of eight words under this id"), (2, "one text of eight words under this id")]
+    docs = frame(spark, [(i, t, lang, "s", len(t), 1, 2, 3, 4, "g", "v", 5) for lang in ("de", "en") for i, t in rows]).select("doc_id", "text", "lang", "source", "n_chars")
+    first = sorted(map(tuple, pipeline.near_dedup(spark, docs, "").collect()))
+    assert [(x[0], x[1]) for x in first] == sorted({rows[0], rows[1]})
+    assert first == sorted(map(tuple, pipeline.near_dedup(spark, docs.repartition(7), "").collect()))
+
+
 def test_empty_table(spark):
     docs = frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in pipeline.STAGES:
