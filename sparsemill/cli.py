@@ -59,7 +59,7 @@ def run(spark: SparkSession, args: Sequence[str]) -> DataFrame | None:
     if broken is not None:
         raise ValueError(broken.error)
     rows = examples.where("command is null")
-    features = featurize(rows, spec) if cached or spec.transforms else rows
+    features = featurize(rows, spec) if spec.transforms else vector.featurize_examples(rows, spec) if cached else rows
     shown = F.col("example_num") > (o.predictions_after or 0)
     if o.testonly:
         weights = start

@@ -10,16 +10,16 @@ from math import exp, frexp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.losses import gradient
+from ..functions.losses import gradient, prediction
 from ..plans.spec import ModelSpec
 from ..storage import stored
 from .features import long_ffm, long_lr
 from .learner import Example, Learner, initial_ffm
 from .optimizers import initial_acc, step
-from .score import embeddings, field_vectors, totals
+from .score import embeddings, field_vectors, inputs_vector, net_total, score, totals
 
 WEIGHTS = "block string, idx long, w float, acc float"
 FOLD = "kind string, example_num long, prediction double, " + WEIGHTS
@@ -58,15 +58,19 @@ def _weight_batches(learner: Learner | LinearFold) -> Iterator[pa.RecordBatch]:
 
 
 class LinearFold:
-    """The fold of a model of linear weights alone, in plain Python over the touched weights: several times as fast as arrays for examples of a few features. Doubles, where the arrays have single precision. Beyond LIMIT touched weights the arrays take over."""
+    """The fold of a model of linear weights alone: several times as fast as the arrays of a Learner for examples of a few features.
 
-    LIMIT = 4_000_000
+    Weights are double arrays of the model's places, whose memory is only taken where
+    they are touched. A batch works on plain lists of its own weights, fetched once
+    and put back at its end; precision and arithmetic are the same for models of any size.
+    """
 
     def __init__(self, spec: ModelSpec):
         self.spec = spec
         self.opt = Learner(replace(spec, bit_precision=1, ffm_k=0, fields=[])).lr_opt
         self.start = float(self.opt.start)
-        self.cells: dict[int, list[float]] = {}  # weight, accumulator
+        self.w, self.acc = (np.zeros(1 << spec.bit_precision) for _ in range(2))  # an accumulator of zero hasn't been touched, unless they start there
+        self.touched: list[np.ndarray] = []
         self.table = self.opt.table.tolist() if spec.optimizer == "adagrad_lut" else None
         # A rate that doesn't depend on the accumulator, as for plain steps and the power zero.
         self.constant = float(self.opt.rate) if spec.optimizer == "sgd" or float(self.opt.power) == 0.0 else None
@@ -74,105 +78,112 @@ class LinearFold:
     def load(self, block: str, idx: np.ndarray, w: np.ndarray, acc: np.ndarray | None) -> None:
         if block != "lr" or len(idx) and (idx.max() >= 1 << self.spec.bit_precision or idx.min() < 0):
             raise ValueError(f"the model has no weights {block}, or not as many")
-        state = [self.start] * len(idx) if acc is None else acc.astype(float).tolist()
-        self.cells.update((i, [a, b]) for i, a, b in zip(idx.tolist(), w.astype(float).tolist(), state, strict=True))
+        self.w[idx] = w
+        if acc is not None:
+            self.acc[idx] = acc
+        self._touch(idx)
+
+    def _touch(self, idx: np.ndarray) -> None:
+        self.touched.append(idx)
+        if len(self.touched) > 256:
+            self.touched = [np.unique(np.concatenate(self.touched))]
 
     def weights(self) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-        idx = np.array(sorted(i for i, c in self.cells.items() if c[0] != 0.0 or c[1] != self.start), np.int64)
-        return [("lr", idx, *(np.array([self.cells[i][k] for i in idx.tolist()], np.float32) for k in (0, 1)))]
-
-    def of(self, hashes: np.ndarray) -> list[list[float]]:
-        """The cells of a batch's features, each looked up once."""
-        distinct, at = np.unique(hashes, return_inverse=True)
-        cells, get, found = self.cells, self.cells.get, []
-        for h in distinct.tolist():
-            c = get(h)
-            if c is None:
-                c = cells[h] = [0.0, self.start]
-            found.append(c)
-        return list(map(found.__getitem__, at.tolist()))
+        idx = np.unique(np.concatenate([np.zeros(0, np.int64), *self.touched]))
+        w, acc = self.w[idx], self._started(idx)
+        changed = (w != 0.0) | (acc != self.start)
+        return [("lr", idx[changed], w[changed].astype(np.float32), acc[changed].astype(np.float32))]
 
-    @staticmethod
-    def total(own: list, values: list | None) -> float:
-        """values: None where all are one, as here and in update()."""
-        if values is None:
-            return sum([c[0] for c in own])
-        t = 0.0
-        for c, v in zip(own, values, strict=True):
-            t += c[0] * v
-        return t
-
-    def update(self, own: list, values: list | None, g: float) -> None:
-        kind, constant = self.opt.kind, self.constant
-        if values is None and constant is not None:
-            step, square = g * constant, 0.0 if kind == "sgd" else g * g
-            for c in own:
-                c[0] -= step
-                c[1] += square
-            return
-        if values is None:
-            values = [1.0] * len(own)
-        if kind == "sgd":
-            g *= constant
-            for c, v in zip(own, values, strict=True):
-                c[0] -= g * v
-            return
-        table, rate, power = self.table, float(self.opt.rate), float(self.opt.power)
-        for c, v in zip(own, values, strict=True):
-            gv = g * v
-            a = c[1] + gv * gv
-            c[1] = a
-            if constant is not None:
-                c[0] -= gv * constant
-            elif table is not None:
-                m, e = frexp(a)  # a single's leading bits: exponent, and three of the fraction
-                c[0] -= gv * table[e + 126 << 3 | int(16.0 * m) - 8 if e > -126 else 0]
-            elif a > 0:
-                c[0] -= gv * rate * a**power
+    def _started(self, idx: np.ndarray) -> np.ndarray:
+        acc = self.acc[idx]
+        return np.where(acc == 0.0, self.start, acc)
 
     def fold(self, batches: Iterator[pa.RecordBatch], testonly: bool = False, predictions_after: int = 0, holdout_after: int | None = None, delay: int = 0, emit_weights: bool = True) -> Iterator[pa.RecordBatch]:
-        waiting: deque[tuple] = deque()
-
-        def learned(own: list, values: list | None, label: int | None, importance: float, t: float, p: float) -> None:
-            if label is not None and importance and t == t and abs(t) <= 50.0:
-                self.update(own, values, (p - label) * importance)
-
-        def probability(t: float) -> float:
-            return 0.5 if t != t else 1.0 / (1.0 + exp(-min(50.0, max(-50.0, t))))
-
+        kind, constant, table = self.opt.kind, self.constant, self.table
+        rate, power = float(self.opt.rate), float(self.opt.power)
+        waiting: deque[tuple] = deque()  # of places, values (None where all are one), label, importance
         for batch in batches:
             get = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
             column = get("lr")
             flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(np.where(np.asarray(column.is_null()), 0, np.diff(np.asarray(column.offsets))))]).tolist()
-            cells, v = self.of(np.asarray(flat.field("hash"))), np.asarray(flat.field("value"))
+            places, v = np.asarray(flat.field("hash")), np.asarray(flat.field("value"))
             v = None if (v == 1.0).all() else v.tolist()
+            distinct, at = np.unique(np.concatenate([places, *(x[0] for x in waiting)]), return_inverse=True)
+            at = at.tolist()
+            w, acc = self.w[distinct].tolist(), self._started(distinct)
+            state = None if constant is not None else acc.tolist()
+            weight_of = w.__getitem__
+            # What was learned, in order: features' numbers, their values, each example's gradient and how many features it has.
+            done: list[int] = []
+            done_v: list[float] = []
+            done_g: list[float] = []
+            done_n: list[int] = []
+            held, to = deque(), len(places)
+            for x in waiting:
+                held.append((at[to : to + len(x[0])], *x[1:], x[0]))
+                to += len(x[0])
+            waiting = held
             numbers, out = [], []
             for k, (number, label, importance) in enumerate(zip(get("example_num").to_pylist(), get("label").to_pylist(), get("importance").to_pylist(), strict=True)):
                 a, b = ends[k], ends[k + 1]
-                own, values = cells[a:b], None if v is None else v[a:b]
-                importance = 1.0 if importance is None else importance
-                t = self.total(own, values)
-                p = probability(t)
-                if delay and not testonly:
-                    waiting.append((own, values, label, importance))
-                    if len(waiting) > delay:
-                        own, values, label, importance = waiting.popleft()
-                        t = self.total(own, values)
-                        learned(own, values, label, importance, t, probability(t))
-                elif not testonly and (holdout_after is None or number < holdout_after):
-                    learned(own, values, label, importance, t, p)
+                own, values = at[a:b], None if v is None else v[a:b]
+                t = sum(map(weight_of, own)) if values is None else sum([w[i] * x for i, x in zip(own, values, strict=True)])
+                p = 0.5 if t != t else 1.0 / (1.0 + exp(-(50.0 if t > 50.0 else -50.0 if t < -50.0 else t)))
                 if number > predictions_after:
                     numbers.append(number)
                     out.append(p)
+                if testonly:
+                    continue
+                if delay:
+                    waiting.append((own, values, label, importance, places[a:b]))
+                    if len(waiting) <= delay:
+                        continue
+                    own, values, label, importance, _ = waiting.popleft()
+                    t = sum(map(weight_of, own)) if values is None else sum([w[i] * x for i, x in zip(own, values, strict=True)])
+                    p = 0.5 if t != t else 1.0 / (1.0 + exp(-(50.0 if t > 50.0 else -50.0 if t < -50.0 else t)))
+                elif holdout_after is not None and number >= holdout_after:
+                    continue
+                if label is None or importance == 0 or not -50.0 <= t <= 50.0:
+                    continue
+                g = p - label if importance is None else (p - label) * importance
+                if constant is not None:
+                    step = g * constant
+                    if values is None:
+                        for i in own:
+                            w[i] -= step
+                    elif kind == "sgd":
+                        for i, x in zip(own, values, strict=True):
+                            w[i] -= step * x
+                    else:
+                        for i, x in zip(own, values, strict=True):
+                            w[i] -= g * x * constant
+                    if kind != "sgd":
+                        done += own
+                        done_g.append(g)
+                        done_n.append(len(own))
+                        if v is not None or delay:
+                            done_v += values or [1.0] * len(own)
+                    continue
+                for i, x in zip(own, values or [1.0] * len(own), strict=True):
+                    gv = g * x
+                    s = state[i] + gv * gv
+                    state[i] = s
+                    if table is not None:
+                        m, e = frexp(s)  # a single's leading bits: exponent, and three of the fraction
+                        w[i] -= gv * table[e + 126 << 3 | int(16.0 * m) - 8 if e > -126 else 0]
+                    elif s > 0:
+                        w[i] -= gv * rate * s**power
+            if done:
+                gv = np.repeat(done_g, done_n)
+                if done_v:
+                    gv *= done_v
+                np.add.at(acc, done, gv * gv)  # one after the other, as they came
+            self.w[distinct] = w
+            self.acc[distinct] = acc if state is None else state
+            self._touch(distinct)
+            waiting = deque((x[4], *x[1:4]) for x in waiting)
             if numbers:
                 yield _prediction_batch(numbers, out)
-            if len(self.cells) > self.LIMIT and not delay:
-                learner = Learner(self.spec)
-                for block in self.weights():
-                    learner.load(*block)
-                self.cells.clear()
-                yield from fold(learner, batches, testonly, predictions_after, holdout_after, 0, emit_weights)
-                return
         if emit_weights and not testonly:
             yield from _weight_batches(self)
 
@@ -345,6 +356,16 @@ def apply_gradient(weights: DataFrame, grads: DataFrame, kind: str, rates) -> Da
     return both.select("idx", (F.coalesce("w", F.lit(0.0)) - F.when(F.col("g").isNull(), 0.0).otherwise(move)).alias("w"), F.when(F.col("g").isNull(), acc).otherwise(new).alias("acc"))
 
 
+def initial_fields(spark: SparkSession, spec: ModelSpec) -> DataFrame:
+    """idx, w: the field weights that learning starts from, each part made where it is wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(initial_ffm(spec, np.asarray(batch.column(0))))], ["idx", "w"])
+
+    return spark.range((1 << spec.ffm_bit_precision) + spec.n_fields * spec.ffm_k).mapInArrow(run, "idx long, w float")
+
+
 def minibatch(features: DataFrame, spec: ModelSpec, batches: int = 1, epochs: int = 1, lr_weights: DataFrame | None = None, ffm_weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Linear and field weights (idx, w, acc) after steps by whole batches of examples, each step a join and an aggregation.
 
@@ -356,8 +377,7 @@ def minibatch(features: DataFrame, spec: ModelSpec, batches: int = 1, epochs: in
     lr = lr_weights if lr_weights is not None else spark.createDataFrame([], "idx long, w double, acc double")
     ffm = ffm_weights
     if spec.ffm_k and ffm is None:
-        learner = Learner(spec)
-        ffm = stored(spark.createDataFrame(pa.table({"idx": np.arange(len(learner.fw)), "w": learner.fw.astype(float), "acc": learner.facc.astype(float)})), "ffm")
+        ffm = stored(initial_fields(spark, spec).select("idx", F.col("w").cast("double").alias("w"), F.lit(float(initial_acc(spec.optimizer, spec.ffm))).alias("acc")), "ffm")
     rows = stored(features, "features")
     for _ in range(epochs):
         for b in range(batches):
@@ -424,7 +444,7 @@ def scorer_of(name: str, spec: ModelSpec, loaded: list[tuple]) -> BatchScorer |
             if size:
                 idx, own = blocks.get("ffm", none)
                 if len(idx) not in (0, size):
-                    raise ValueError(f"Lengths of weights array in regressor file differ: got {len(idx)}, expected {size}")
+                    raise ValueError(f"ffm: the model has {size} weights, the table {len(idx)}")
                 fw = initial_ffm(spec, size) if not len(idx) else np.zeros(size, np.float32)
                 fw[idx] = own
             made = BatchScorer(LinearWeights(spec.bit_precision, *blocks.get("lr", none)), fw, spec.n_fields, spec.ffm_k)
@@ -464,8 +484,14 @@ def batch_predictions(learner: BatchScorer, batch: pa.RecordBatch) -> np.ndarray
     return 1 / (1 + np.exp(-t))
 
 
-def score_local(features: DataFrame, spec: ModelSpec, weights: DataFrame, **keep) -> DataFrame:  # noqa: ANN003
-    """example_num, prediction by a whole model (nets too) in every task. The model is bounded by its options, not by the data."""
+#: Weights that the driver may read and send to every task.
+LOCAL_WEIGHTS = 1 << 23
+
+
+def score_local(features: DataFrame, spec: ModelSpec, weights: DataFrame) -> DataFrame:
+    """example_num, prediction by a whole model (nets too) in every task; models of more than LOCAL_WEIGHTS weights meet the examples in joins."""
+    if weights.count() > LOCAL_WEIGHTS:
+        return score_joined(features, spec, weights)
     loaded = _local_weights(weights)
 
     name = uuid.uuid4().hex
@@ -477,3 +503,19 @@ def score_local(features: DataFrame, spec: ModelSpec, weights: DataFrame, **keep
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predictions, pa.float64())], ["example_num", "prediction"])
 
     return features.select("example_num", "label", "importance", "lr", "ffm").mapInArrow(run, "example_num long, prediction double")
+
+
+def score_joined(features: DataFrame, spec: ModelSpec, weights: DataFrame) -> DataFrame:
+    """example_num, prediction, linear and field weights being joined. Only a net's layers, bounded by its options, are read by the driver."""
+    lr, ffm = weights.where("block = 'lr'"), weights.where("block = 'ffm'")
+    if spec.ffm_k and ffm.isEmpty():
+        ffm = initial_fields(features.sparkSession, spec)
+    if not spec.layers:
+        return score(features, spec, lr, ffm).select("example_num", "prediction")
+    learner, layers = Learner(replace(spec, bit_precision=1, ffm_bit_precision=1)), []
+    for block, idx, w, acc in _local_weights(weights.where("block like 'nn%'")):
+        learner.load(block, idx, w, acc)
+    for w in learner.layers:
+        layers.append((w[:, :-1].tolist(), w[:, -1].tolist()))
+    x = inputs_vector(features, spec, lr, ffm)
+    return x.select("example_num", prediction(net_total(F.col("x"), spec, layers)).alias("prediction"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.losses import logloss
+from ..storage import stored
 
 
 def mean_logloss(scored: DataFrame) -> DataFrame:
@@ -35,7 +36,19 @@ def distinct_predictions(scored: DataFrame) -> DataFrame:
 
 
 def running_loss(scored: DataFrame, order: str = "example_num", by: str | None = None) -> DataFrame:
-    """example_num, loss, mean_loss: progressive validation. An extension; runs in order, within groups where a column names them."""
-    window = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    """example_num, loss, mean_loss: progressive validation. An extension; in order, within groups where a column names them.
+
+    Without groups, rows are dealt by ranges of the order; sums of the ranges before,
+    a row for each, are added to the sums within a range.
+    """
     rows = scored.where(F.col("label").isNotNull()).withColumn("loss", logloss(F.col("prediction"), F.col("label")))
-    return rows.select(*([by] if by else []), order, "loss", F.avg("loss").over(window).alias("mean_loss"))
+    if by:
+        window = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select(by, order, "loss", F.avg("loss").over(window).alias("mean_loss"))
+    ranged = stored(rows.select(order, "loss").repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranged")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
+    before = ranged.groupBy("part").agg(F.sum("loss").alias("s"), F.count("*").alias("n"))
+    before = before.select("part", F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"))
+    window = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    mean = (F.col("s") + F.sum("loss").over(window)) / (F.col("n") + F.count("*").over(window))
+    return ranged.join(F.broadcast(before), "part").select(order, "loss", mean.alias("mean_loss"))

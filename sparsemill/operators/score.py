@@ -125,20 +125,45 @@ def net_total(x: Column, spec: ModelSpec, layers: Sequence[tuple[Sequence[Sequen
     return F.element_at(dense(h, *layers[-1]), 1)
 
 
+def context_fields(context: DataFrame, spec: ModelSpec, ffm_weights: DataFrame) -> DataFrame:
+    """ctx, towards: a context's field sums as one array, that of field z towards field f at (z * fields + f) * k."""
+    vectors = field_vectors(embeddings(context, ffm_weights, spec.n_fields, spec.ffm_k, "ctx"), "ctx")
+    place = ((F.col("f") * spec.n_fields + F.col("z")) * spec.ffm_k + F.col("j")).cast("int")
+    sums = vectors.groupBy("ctx").agg(F.map_from_entries(F.collect_list(F.struct(place, "c"))).alias("c"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(spec.n_fields**2 * spec.ffm_k - 1)), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0.0)))
+    return sums.select("ctx", dense.alias("towards"))
+
+
 def score_with_context(context: DataFrame, candidates: DataFrame, spec: ModelSpec, lr_weights: DataFrame, ffm_weights: DataFrame | None = None) -> DataFrame:
     """ctx, example_num, total, prediction of candidates that share contexts. context: ctx, lr, ffm; candidates: ctx, example_num, lr, ffm.
 
-    Field sums are linear in features, so a context's are computed once and added
-    to each candidate's; only the products are per candidate.
+    A context's own total and field sums are computed once. A candidate's own total
+    is that of its few features; what it and its context have in common is linear in
+    the candidate's features: each one's numbers, times the context's sums towards
+    its field, which come as one array beside the candidate.
     """
-    keys = candidates.select("ctx", "example_num")
-    linear = lr_sums(candidates, lr_weights).groupBy("example_num").agg(F.sum("s").alias("x"))
-    shared = lr_sums(context, lr_weights, "ctx").groupBy("ctx").agg(F.sum("s").alias("y"))
-    out = keys.join(linear, "example_num", "left").join(shared, "ctx", "left").select("ctx", "example_num", (F.coalesce("x", F.lit(0.0)) + F.coalesce("y", F.lit(0.0))).alias("total"))
-    if spec.ffm_k and ffm_weights is not None:
-        own = field_vectors(embeddings(candidates, ffm_weights, spec.n_fields, spec.ffm_k))
-        once = field_vectors(embeddings(context, ffm_weights, spec.n_fields, spec.ffm_k, "ctx"), "ctx")
-        both = own.union(keys.join(once, "ctx").select("example_num", "f", "z", "j", "c", "s")).groupBy("example_num", "f", "z", "j").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
-        fields = field_outputs(both).groupBy("example_num").agg(F.sum("o").alias("o"))
-        out = out.join(fields, "example_num", "left").select("ctx", "example_num", (F.col("total") + F.coalesce("o", F.lit(0.0))).alias("total"))
+    shared = totals(context, spec, lr_weights, ffm_weights, "ctx").withColumnRenamed("total", "y")
+    rows = candidates.join(shared, "ctx", "left")
+    fields = spec.ffm_k and ffm_weights is not None
+    if fields:
+        rows = rows.join(context_fields(context, spec, ffm_weights), "ctx", "left")
+    rows = rows.repartition("example_num")  # what it explodes to is aggregated in place
+    linear = rows.select("ctx", "example_num", "y", F.explode_outer("lr").alias("x")).select("ctx", "example_num", "y", F.col("x.hash").alias("idx"), F.col("x.value").cast("double").alias("v"))
+    linear = linear.join(lr_weights.select("idx", F.col("w").cast("double").alias("w")), "idx", "left").groupBy("example_num").agg(F.first("ctx").alias("ctx"), (F.coalesce(F.first("y"), F.lit(0.0)) + F.sum(F.coalesce(F.col("v") * F.col("w"), F.lit(0.0)))).alias("total"))
+    if not fields:
+        return linear.select("ctx", "example_num", "total", prediction(F.col("total")).alias("prediction"))
+    n, k = spec.n_fields, spec.ffm_k
+    each = rows.select("example_num", "towards", F.posexplode_outer("ffm").alias("i", "x")).where(F.col("x").isNotNull())
+    each = each.select("example_num", F.col("x.field").alias("f"), F.col("x.hash").alias("h"), F.col("x.value").cast("double").alias("v"), "towards", F.explode(F.sequence(F.lit(0), F.lit(n * k - 1))).alias("at"))
+    z, j = F.floor(F.col("at") / k).cast("int"), F.col("at") % k
+    each = each.select("example_num", "f", z.alias("z"), j.alias("j"), "v", (F.col("h") + F.col("at")).alias("idx"), F.coalesce(F.get("towards", (z * n + F.col("f")) * k + j), F.lit(0.0)).alias("other"))
+    each = each.join(ffm_weights.select("idx", F.col("w").cast("double").alias("w")), "idx", "left").withColumn("own", F.col("v") * F.coalesce("w", F.lit(0.0)))
+    vectors = each.groupBy("example_num", "f", "z", "j").agg(F.sum("own").alias("c"), F.sum(F.col("own") * F.col("own")).alias("s"), F.sum(F.col("own") * F.col("other")).alias("common"))
+    lo, hi = F.least("f", "z").alias("f1"), F.greatest("f", "z").alias("f2")
+    c = lambda which: F.sum(F.when(which, F.col("c")))
+    pairs = vectors.groupBy("example_num", lo, hi, "j").agg(c(F.col("f") < F.col("z")).alias("a"), c(F.col("f") > F.col("z")).alias("b"), F.sum(F.when(F.col("f") == F.col("z"), 0.5 * (F.col("c") * F.col("c") - F.col("s")))).alias("d"), F.sum("common").alias("common"))
+    own = F.when(F.col("f1") == F.col("f2"), F.col("d")).otherwise(F.coalesce(F.col("a") * F.col("b"), F.lit(0.0)))
+    sums = pairs.select("example_num", F.lit(None).cast(linear.schema["ctx"].dataType).alias("ctx"), (own + F.col("common")).alias("total"))
+    both = linear.select("example_num", "ctx", "total").union(sums)
+    out = both.groupBy("example_num").agg(F.max("ctx").alias("ctx"), F.sum("total").alias("total"))
     return out.select("ctx", "example_num", "total", prediction(F.col("total")).alias("prediction"))

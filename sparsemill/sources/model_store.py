@@ -55,7 +55,7 @@ def load(spark: SparkSession, path: str, immutable: bool = False, like: ModelSpe
     found = {r.block: r.n for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect()}
     for block in {*found, *meta["sizes"]}:
         if found.get(block, 0) != meta["sizes"].get(block, 0):
-            raise ValueError(f"Lengths of weights array in regressor file differ: got {found.get(block, 0)}, expected {meta['sizes'].get(block, 0)}")
+            raise ValueError(f"{block}: the model was saved with {meta['sizes'].get(block, 0)} weights, and {found.get(block, 0)} are there")
     if meta["quantized"]:
         fields = dequantize(spark.read.parquet(f"{path}/quantized"))
         rows = rows.select("block", "idx", "w").union(fields.select(F.lit("ffm"), "idx", "w"))

@@ -4,6 +4,7 @@ import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from sparsemill import cli
 from sparsemill.operators import learn, metrics, score, weights
 from sparsemill.operators.features import featurize
 from sparsemill.operators.learner import Learner, example
+from sparsemill.operators.optimizers import TABLE_BITS
 from sparsemill.plans.spec import SpecError, from_args
 from sparsemill.sources import cache, local, model_store, text
 from sparsemill.sources.catalog import Catalog
@@ -64,13 +66,48 @@ def test_delay_holdout_after_and_warm_start(spark):
     assert [rest[i] for i in range(151, 301)] == pytest.approx([one[i] for i in range(151, 301)], abs=1e-4)
 
 
-def test_arrays_take_over_from_a_large_linear_fold(spark, monkeypatch):
-    spec, features = eaten(spark, 300, LINEAR)
-    _, want = by_hand(spec, features)
-    table = features.orderBy("example_num").select("example_num", "label", "importance", "lr", "ffm").toArrow().combine_chunks()
-    monkeypatch.setattr(learn.LinearFold, "LIMIT", 20)
-    got = [x for b in learn.LinearFold(spec).fold(iter(table.to_batches(max_chunksize=50))) for x in b.column(2).to_pylist() if x is not None]
-    assert got == pytest.approx([want[i] for i in sorted(want)], abs=2e-5)
+def hashed(n, values, seed=3):
+    """Examples of six features each, as the fold reads them; each shares some, and some repeat one."""
+    rng = np.random.default_rng(seed)
+    rows = [[{"hash": int(h), "value": float(v), "combo": 0} for h, v in zip(rng.integers(0, 40, 6), rng.choice([0.5, 1.0, 2.0], 6) if values else np.ones(6), strict=True)] for _ in range(n)]
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("value", pa.float32()), ("combo", pa.int32())]))
+    labels = [None if k % 11 == 5 else int(rng.random() < 0.4) for k in range(n)]
+    return pa.table({"example_num": range(1, n + 1), "label": labels, "importance": pa.array([2.0 if k % 7 == 0 else None if k % 5 else 1.0 for k in range(n)], pa.float32()), "lr": pa.array(rows, kind), "ffm": pa.nulls(n, kind)})
+
+
+@pytest.mark.parametrize("values", [False, True])
+@pytest.mark.parametrize("options", ["--sgd --adaptive --power_t 0.0", "--sgd --adaptive --power_t 0.5", "--adaptive --power_t 0.3", "--sgd"])
+def test_linear_folds_are_the_same_in_batches_and_models_of_any_size(options, values):
+    """Against a plain loop in double precision, with and without delay."""
+    table = hashed(400, values)
+    for bits in (6, 22):
+        spec = from_args(f"--keep A -l 0.1 -b {bits} {options}", CATALOG)
+        for delay in (0, 30):
+            found = []
+            for size in (400, 64, 1):
+                out = list(learn.LinearFold(spec).fold(iter(table.to_batches(max_chunksize=size)), delay=delay))
+                found.append(([x for b in out for x in b.column(2).to_pylist() if x is not None], [(i, w, a) for b in out for i, w, a in zip(*(b.column(c).to_pylist() for c in (4, 5, 6)), strict=True) if i is not None]))
+            assert found[0] == found[1] == found[2] and len(found[0][0]) == 400
+            opt, w, acc = learn.LinearFold(spec).opt, np.zeros(40), np.full(40, float(learn.LinearFold(spec).opt.start))
+            rows = table.to_pylist()
+
+            def total(r, w=w):
+                return sum(w[x["hash"]] * x["value"] for x in r["lr"])
+
+            for k, r in enumerate(rows):
+                assert found[0][0][k] == pytest.approx(1 / (1 + np.exp(-total(r))), abs=1e-9)
+                r = r if not delay else rows[k - delay] if k >= delay else None
+                if r is None or r["label"] is None:
+                    continue
+                g = (1 / (1 + np.exp(-total(r))) - r["label"]) * (1.0 if r["importance"] is None else r["importance"])
+                for x in r["lr"]:
+                    h, gv = x["hash"], g * x["value"]
+                    acc[h] += 0 if opt.kind == "sgd" else gv * gv
+                    rate = opt.rate if opt.kind == "sgd" else opt.table[np.float32(acc[h]).view(np.uint32) >> np.uint32(31 - TABLE_BITS)] if opt.kind == "adagrad_lut" else opt.rate * acc[h] ** float(opt.power)
+                    w[h] -= gv * float(rate)
+            assert [x[0] for x in found[0][1]] == np.flatnonzero((w != 0) | (acc != float(opt.start))).tolist()
+            assert [x[1] for x in found[0][1]] == pytest.approx([w[x[0]] for x in found[0][1]], abs=1e-6)
+            assert [x[2] for x in found[0][1]] == pytest.approx([acc[x[0]] for x in found[0][1]], rel=1e-6)
 
 
 def test_many_models_are_each_their_own(spark):
