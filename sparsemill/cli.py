@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators.features import featurize
 from .operators.learn import averaged, score_local, sequential
-from .plans.spec import ModelSpec, SpecError, from_options, parser
+from .plans.spec import SpecError, _or, from_options, parser
 from .sources import cache, model_store, vector
 from .sources.catalog import Catalog
 from .sources.text import read_lines
@@ -85,15 +85,13 @@ def _nothing(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "block string, idx long, w float, acc float")
 
 
-def _serve(spark: SparkSession, o) -> DataFrame | None:  # noqa: ANN001
-    """Answers lines of a socket on the console until it is stopped."""
-    from .streaming.serve import Server, serve
+def _serve(spark: SparkSession, o) -> None:  # noqa: ANN001
+    """Answers the lines of each client until it is stopped."""
+    from .streaming.daemon import Daemon
 
-    server = Server(spark, o.initial_regressor)
-    lines = spark.readStream.format("socket").option("host", "127.0.0.1").option("port", o.port or 26542).load()
-    numbered = lines.select(F.monotonically_increasing_id().alias("example_num"), F.col("value").alias("line"))
-    serve(numbered, server, lambda batch, _: batch.orderBy("example_num").select("response").show(truncate=False), f"{o.initial_regressor}.checkpoint").awaitTermination()
-    return None
+    daemon = Daemon(lambda path: model_store.predictor(spark, path), o.initial_regressor, port=_or(o.port, 26542), children=_or(o.num_children, 10))
+    with daemon:
+        daemon.serve_forever()
 
 
 def main() -> None:

@@ -229,7 +229,7 @@ def sequential(features: DataFrame, spec: ModelSpec, start: DataFrame | None = N
     use mini-batches or averaging, to use a cluster. start: weights to go on from,
     a table bounded by the model's size, read by the driver.
     """
-    loaded = _local_weights(start)
+    loaded = local_weights(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = folder(spec)
@@ -245,7 +245,7 @@ def split(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return folded.where("kind = 'prediction'").select("example_num", "prediction"), folded.where("kind = 'weight'").select("block", "idx", "w", "acc")
 
 
-def _local_weights(table: DataFrame | None) -> list[tuple]:
+def local_weights(table: DataFrame | None) -> list[tuple]:
     if table is None:
         return []
     rows = table.select("block", "idx", "w", *(["acc"] if "acc" in table.columns else [])).orderBy("block", "idx").toPandas()
@@ -492,7 +492,7 @@ def score_local(features: DataFrame, spec: ModelSpec, weights: DataFrame) -> Dat
     """example_num, prediction by a whole model (nets too) in every task; models of more than LOCAL_WEIGHTS weights meet the examples in joins."""
     if weights.count() > LOCAL_WEIGHTS:
         return score_joined(features, spec, weights)
-    loaded = _local_weights(weights)
+    loaded = local_weights(weights)
 
     name = uuid.uuid4().hex
 
@@ -513,7 +513,7 @@ def score_joined(features: DataFrame, spec: ModelSpec, weights: DataFrame) -> Da
     if not spec.layers:
         return score(features, spec, lr, ffm).select("example_num", "prediction")
     learner, layers = Learner(replace(spec, bit_precision=1, ffm_bit_precision=1)), []
-    for block, idx, w, acc in _local_weights(weights.where("block like 'nn%'")):
+    for block, idx, w, acc in local_weights(weights.where("block like 'nn%'")):
         learner.load(block, idx, w, acc)
     for w in learner.layers:
         layers.append((w[:, :-1].tolist(), w[:, -1].tolist()))

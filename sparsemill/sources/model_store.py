@@ -8,8 +8,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.learn import local_weights
+from ..operators.learner import Learner
 from ..operators.weights import dequantize, quantize, to_inference
 from ..plans.spec import ModelSpec
+from .local import Predictor
 
 FORMAT, VERSION = "sparse-feature model", 1
 #: Options that may change when a model is loaded to learn on, and where they go. Each stands for itself: none sets another.
@@ -68,3 +71,12 @@ def convert_to_inference(spark: SparkSession, path: str, to: str, quantized: boo
     """A copy without the optimizer's state."""
     spec, rows = load(spark, path, immutable=True)
     save(spec, rows, to, quantized)
+
+
+def predictor(spark: SparkSession, path: str) -> Predictor:
+    """A model for single lines, in memory: as large as its options make it."""
+    spec, weights = load(spark, path, immutable=True)
+    learner = Learner(spec)
+    for block in local_weights(weights):
+        learner.load(*block)
+    return Predictor(spec, learner)

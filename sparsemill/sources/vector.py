@@ -262,7 +262,7 @@ def combine(every: dict[str, Column], spec: ModelSpec, n: int) -> tuple[tuple, t
 FEATURES = "example_num long, label int, importance float, {more}lr array<struct<hash:bigint,value:float,combo:int>>, ffm array<struct<hash:bigint,value:float,field:int>>"
 
 
-def _feature_lists(every: dict[str, Column], spec: ModelSpec, n: int) -> list[pa.ListArray]:
+def feature_lists(every: dict[str, Column], spec: ModelSpec, n: int) -> list[pa.ListArray]:
     """lr and ffm of n rows."""
     sets = combine(every, spec, n)
     return [_list(count, pa.StructArray.from_arrays([pa.array(h), pa.array(v), pa.array(k)], ["hash", "value", third])) for (count, h, v, k), third in zip(sets, ("combo", "field"), strict=True)]
@@ -277,7 +277,7 @@ def featurize(lines: DataFrame, spec: ModelSpec, key: str = "example_num", line:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             state, every = parse_lines(batch.column(1), spec.catalog, wanted)
-            yield pa.RecordBatch.from_arrays([batch.column(0), state["label"], state["importance"], state["error"], state["command"], *_feature_lists(every, spec, batch.num_rows)], ["example_num", "label", "importance", "error", "command", "lr", "ffm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), state["label"], state["importance"], state["error"], state["command"], *feature_lists(every, spec, batch.num_rows)], ["example_num", "label", "importance", "error", "command", "lr", "ffm"])
 
     return lines.select(F.col(key).cast("long").alias("example_num"), F.col(line).alias("line")).mapInArrow(run, FEATURES.format(more="error string, command string, "))
 
@@ -295,7 +295,7 @@ def featurize_examples(examples: DataFrame, spec: ModelSpec) -> DataFrame:
                 count = pc.fill_null(pc.list_value_length(batch.column(2 * k + 3)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 h, w = (batch.column(2 * k + 3 + j).flatten().to_numpy(zero_copy_only=False) for j in (0, 1))
                 every[c] = Column(count, h, w, w)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *_feature_lists(every, spec, batch.num_rows)], ["example_num", "label", "importance", "lr", "ffm"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *feature_lists(every, spec, batch.num_rows)], ["example_num", "label", "importance", "lr", "ffm"])
 
     lists = [F.col(c)[part].alias(f"{c}_{part}") for c in wanted for part in ("hash", "weight")]
     return examples.select("example_num", "label", "importance", *lists).mapInArrow(run, FEATURES.format(more=""))

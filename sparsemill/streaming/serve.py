@@ -1,7 +1,7 @@
 """Predictions over a stream of lines, with models replaced between micro-batches.
 
 Data lines become predictions, lines that can't be parsed become `ERR: ...` rows,
-and commands act before the micro-batch that follows them is scored. Scoring keeps
+and a command acts on the lines after it, in the order of example_num. Scoring keeps
 no state, so that append mode without a watermark is exact.
 """
 
@@ -46,16 +46,22 @@ class Server:
                 self.load(named.value.strip())
 
     def answer(self, lines: DataFrame) -> DataFrame:
-        """example_num, response of example_num, line: a prediction of six decimals, an error, or a command's answer."""
+        """example_num, response of example_num, line: a prediction of six decimals, an error, or a command's answer. Lines between two commands are scored together."""
         self.poll()
         parsed = parse(lines, self.spec.catalog)
-        answers = []
-        # Commands are few: control lines between data.
-        for row in parsed.where("command = 'hogwild_load'").select("example_num", "argument").orderBy("example_num").collect():
-            answers.append((row.example_num, self.load(row.argument)))
         bad = parsed.where("error is not null").select("example_num", F.concat(F.lit("ERR: "), "error").alias("response"))
-        scored = score_local(featurize(parsed.where("error is null and command is null"), self.spec), self.spec, self.weights)
-        out = scored.select("example_num", F.format_string("%.6f", "prediction").alias("response")).union(bad)
+        data = parsed.where("error is null and command is null")
+        # Commands are few: control lines between data.
+        commands = parsed.where("command = 'hogwild_load'").select("example_num", "argument").orderBy("example_num").collect()
+        out, answers, after = bad, [], None
+        for row in [*commands, None]:
+            own = data if after is None else data.where(F.col("example_num") > after)
+            own = own if row is None else own.where(F.col("example_num") < row.example_num)
+            scored = score_local(featurize(own, self.spec), self.spec, self.weights)
+            out = out.union(scored.select("example_num", F.format_string("%.6f", "prediction").alias("response")))
+            if row is not None:
+                after = row.example_num
+                answers.append((after, self.load(row.argument)))
         return out.union(self.spark.createDataFrame(answers, "example_num long, response string")) if answers else out
 
 

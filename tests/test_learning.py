@@ -1,7 +1,10 @@
 """Learning, scoring, storing and serving over DataFrames."""
 
 import os
+import socket
+import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +17,11 @@ from sparsemill.operators.features import featurize
 from sparsemill.operators.learner import Learner, example
 from sparsemill.operators.optimizers import TABLE_BITS
 from sparsemill.plans.spec import SpecError, from_args
-from sparsemill.sources import cache, local, model_store, text
+from sparsemill.sources import cache, local, model_store, sql, text, vector
 from sparsemill.sources.catalog import Catalog
 from sparsemill.sources.generate import as_lines, eats
 from sparsemill.storage import shared_dir
+from sparsemill.streaming.daemon import Daemon
 from sparsemill.streaming.serve import Server, learn_stream, serve
 
 CATALOG = Catalog.from_rows([("A", "animal"), ("B", "food")])
@@ -360,3 +364,86 @@ def test_empty_inputs(spark):
     assert learn.sequential(none, spec)[0].count() == 0 and score.score(none, spec, spark.createDataFrame([], "idx long, w double")).count() == 0
     unlabelled = features.withColumn("label", F.lit(None).cast("int"))
     assert learn.sequential(unlabelled, from_args(LINEAR, CATALOG))[1].count() == 0
+
+
+def closed_model(spark, path, scale=0.001):
+    spec = from_args("--keep A --keep B -b 12", CATALOG)
+    w = spark.range(1 << 12).select(F.lit("lr").alias("block"), F.col("id").alias("idx"), ((F.col("id") * 7919 % 1000 - 500) * scale).cast("float").alias("w"), F.lit(0.0).cast("float").alias("acc"))
+    model_store.save(spec, w, path)
+    return spec
+
+
+def test_commands_act_on_the_lines_after_them(spark, tmp_path):
+    closed_model(spark, f"{tmp_path}/one")
+    closed_model(spark, f"{tmp_path}/two", 0.002)
+    server = Server(spark, f"{tmp_path}/one")
+    lines = ["1 |A cat", f"hogwild_load {tmp_path}/two", "1 |A cat", "1 |Z x", f"hogwild_load {tmp_path}/one", "1 |A cat", f"hogwild_load {tmp_path}/none", "1 |A cat"]
+    got = [r.response for r in server.answer(spark.createDataFrame(list(enumerate(lines)), "example_num long, line string")).orderBy("example_num").collect()]
+    assert got[0] == got[5] == got[7] != got[2] and got[1] == got[4] == "hogwild_load success" and got[6] == "ERR: hogwild_load fail"
+    assert got[3].startswith("ERR: ") and float(got[0]) > 0
+
+
+def test_daemon_answers_its_clients(spark, tmp_path):
+    closed_model(spark, f"{tmp_path}/one")
+    closed_model(spark, f"{tmp_path}/two", 0.002)
+    daemon = Daemon(lambda path: model_store.predictor(spark, path), f"{tmp_path}/one", port=0, children=2)
+    threading.Thread(target=daemon.serve_forever, daemon=True).start()
+
+    def ask(*lines):
+        with socket.create_connection(daemon.server_address, 30) as s, s.makefile("rw", encoding="utf-8", newline="\n") as f:
+            out = []
+            for line in lines:
+                f.write(line + "\n")
+                f.flush()
+                out.append(None if line == "flush" else f.readline().rstrip("\n"))
+            return out
+
+    want = [f"{daemon.predictor.predict(x):.6f}" for x in ("|A cat", "|B fish")]
+    assert ask("|A cat", "flush", "|B fish", "|Z x") == [want[0], None, want[1], "ERR: Feature name was not predeclared in vw_namespace_map.csv: Z"]
+    with ThreadPoolExecutor(6) as pool:
+        assert list(pool.map(lambda _: ask("|A cat", "|B fish"), range(12))) == [want] * 12
+    assert ask(f"hogwild_load {tmp_path}/none", "|A cat") == ["ERR: hogwild_load fail", want[0]]
+    assert ask(f"hogwild_load {tmp_path}/two", "|A cat")[0] == "hogwild_load success" and ask("|A cat") != [want[0]]
+    daemon.shutdown()
+    daemon.server_close()
+
+
+def test_a_model_in_sql(spark, tmp_path):
+    closed_model(spark, f"{tmp_path}/one")
+    sql.register(spark, f"{tmp_path}/one", "eats")
+    single = model_store.predictor(spark, f"{tmp_path}/one")
+    lines = ["1 |A cat |B fish", "|A cat", "1 |Z x", "flush", None, "", "-1 |B a:2 b"]
+    spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string").createOrReplaceTempView("asked")
+    got = [r.p for r in spark.sql("select eats(line) p from asked order by k").collect()]
+    assert got == pytest.approx([-1.0 if x is None else single.predict(x) for x in lines], abs=1e-6) and got[2:6] == [-1.0] * 4
+
+
+def test_large_models_are_joined(spark, monkeypatch):
+    for args in (FFM, f"{FFM} --nn_layers 1 --nn 0:width:3 --nn 0:activation:relu"):
+        spec, features = eaten(spark, 120, args)
+        learner, _ = by_hand(spec, features)
+        rows = [(b, int(i), float(w), float(a)) for b, idx, ws, accs in learner.weights() for i, w, a in zip(idx, ws, accs, strict=True)]
+        table = spark.createDataFrame(rows, learn.WEIGHTS)
+        want = {r.example_num: r.prediction for r in learn.score_local(features, spec, table).collect()}
+        monkeypatch.setattr(learn, "LOCAL_WEIGHTS", 10)
+        got = {r.example_num: r.prediction for r in learn.score_local(features, spec, table).collect()}
+        monkeypatch.undo()
+        assert got.keys() == want.keys() and [got[k] for k in want] == pytest.approx(list(want.values()), abs=1e-5)
+
+
+def test_running_loss_by_ranges_is_that_in_order(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, int(rng.random() < 0.5), float(rng.random())) for k in rng.permutation(500).tolist()]
+    scored = spark.createDataFrame(rows, "example_num long, label int, prediction double").repartition(5)
+    got = [r.mean_loss for r in metrics.running_loss(scored).orderBy("example_num").collect()]
+    own = [-np.log(p if y else 1 - p) for _, y, p in sorted(rows)]
+    assert got == pytest.approx((np.cumsum(own) / np.arange(1, 501)).tolist())
+
+
+def test_cached_examples_give_the_same_features(spark, tmp_path):
+    spec = from_args("--keep A --keep B:2 --interactions AB --ffm_k 2 --ffm_field A --ffm_field B -b 18", CATALOG)
+    lines = spark.createDataFrame([(k, x) for k, x in enumerate(["1 |A a b |B c:2", "-1 0.5 |B d", "|A e", "1 |A x:0.5 y |B"])], "example_num long, line string")
+    cache.write(vector.parse(lines, CATALOG), CATALOG, f"{tmp_path}/cache")
+    columns = ("example_num", "label", "importance", "lr", "ffm")
+    want = sorted(vector.featurize(lines, spec).select(*columns).collect())
+    assert sorted(vector.featurize_examples(cache.read(spark, f"{tmp_path}/cache"), spec).select(*columns).collect()) == want
