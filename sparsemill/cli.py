@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.losses import prediction_line
 from .operators.features import featurize
 from .operators.learn import averaged, score_local, sequential
 from .plans.spec import SpecError, _or, from_options, parser
@@ -19,7 +20,7 @@ from .sources.text import read_lines
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """One number of six decimals a line, in the order of example_num, in one file: the format is a single ordered file."""
-    lines = predictions.repartitionByRange("example_num").sortWithinPartitions("example_num").select(F.format_string("%.6f", "prediction").alias("value"))
+    lines = predictions.repartitionByRange("example_num").sortWithinPartitions("example_num").select(prediction_line().alias("value"))
     partial = f"{path}.writing"
     with open(partial, "w", encoding="ascii") as out:
         for row in lines.toLocalIterator(prefetchPartitions=True):  # a partition at a time
@@ -74,8 +75,8 @@ def run(spark: SparkSession, args: Sequence[str]) -> DataFrame | None:
     if o.predictions:
         write_predictions(predictions, o.predictions)
     if o.predictions_stdout:
-        for row in predictions.repartitionByRange("example_num").sortWithinPartitions("example_num").toLocalIterator():
-            sys.stdout.write(f"{row.prediction:.6f}\n")
+        for row in predictions.repartitionByRange("example_num").sortWithinPartitions("example_num").select(prediction_line().alias("value")).toLocalIterator():
+            sys.stdout.write(f"{row.value}\n")
     if o.final_regressor:
         model_store.save(spec, weights, o.final_regressor, o.weight_quantization)
     return predictions

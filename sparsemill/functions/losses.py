@@ -25,3 +25,8 @@ def logloss(p: Column, label: Column, floor: float = 1e-15) -> Column:
     """Loss of one prediction; probabilities of zero count as `floor`."""
     own = F.when(label == 1, p).otherwise(1 - p)
     return -F.log(F.greatest(own, F.lit(floor)))
+
+
+def prediction_line(column: str = "prediction") -> Column:
+    """A line of a prediction file."""
+    return F.format_string("%.6f", column)

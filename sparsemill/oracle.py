@@ -215,6 +215,24 @@ def nn_forward() -> str:
     return select(f"select vec_id, round({sigmoid(f'list_sum([{neurons}]) + list_sum(x)')}, 6) prediction from vec where n = 64", VECTORS)
 
 
+def in_order(importance: str = "1.0", learned: str = "true", shown: str = "ex > 0") -> str:
+    """Predictions of a linear model over two namespaces (five values each at most), learned order by order: a recursion that carries all weights."""
+    return f"""with recursive {BASE},
+    orders_ as materialized (select row_number() over (order by ex) n, ex, label, dense_rank() over (order by a) ai, 10 + dense_rank() over (order by b) bi, {importance} * ({learned})::int importance from ex),
+    state as (select 0::bigint n, 0::bigint ex, list_transform(range(20), lambda i: 0.0::double) weights, 0.0::double p
+      union all
+      select n, ex, list_transform(weights, lambda v, i: case when i = ai or i = bi then v - 0.1::double * ((p - label) * importance) else v end), p
+      from (select o.n, o.ex, ai, bi, label, importance, weights, {sigmoid('weights[ai] + weights[bi]')} p from state join orders_ o on o.n = state.n + 1))
+    select ex, round(p, 6) prediction from state where n > 0 and {shown}"""
+
+
+def stored_model(scale: str = "1000", second: bool = True) -> str:
+    """p: the prediction of a stored model, with single weights by place, of each order."""
+    h12 = lr_mask(12)
+    one = lambda h: f"{w(masked(h, h12), float(scale))}::float::double"
+    return sigmoid(" + ".join([one("ha"), *([one("hb")] if second else []), one(str(CONSTANT_HASH))]))
+
+
 def oracle_sql() -> dict[str, str]:
     h18, line_labels = lr_mask(18), "case ex % 3 when 0 then 1 when 1 then 0 else -1 end"
     float_hash = hashes("E", "bal")
@@ -267,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "relu_layer": select(f"{ELEMENT} (select vec_id, n, list_transform(x, lambda v: greatest(v, 0.0)) y from vec)", VECTORS),
         "normalize_predict": select(f"{ELEMENT} (select vec_id, n, list_transform(x, lambda v: v / sqrt((list_sum(list_transform(x, lambda u: pow(m * m - u, 2))) + 0.01) / n)) y from (select *, list_sum(x) / n m from vec))", VECTORS),
         "normalize_learn": select(f"{ELEMENT} (select vec_id, n, list_transform(x, lambda v: (v - m) / sqrt((list_sum(list_transform(x, lambda u: pow(m * m - u, 2))) + 0.01) / n)) y from (select *, list_sum(x) / n m from vec))", VECTORS),
-        "sum_block": select("select vec_id, round(list_sum(x), 6) total from vec", VECTORS),
+        "sum_block": select("select vec_id, round(list_sum(x), 6) total from vec where n = 64", VECTORS),
         "nn_forward": nn_forward(),
         "logloss_gradient": select("select ex, round(case when abs(total) > 50 then 0 else p - label end, 6) g from sc", *SCORED),
         "minibatch_gradient": select("select idx, round(g, 6) g, round(s, 6) s from gr", *GRADS),
@@ -283,8 +301,22 @@ def oracle_sql() -> dict[str, str]:
         ),
         "distinct_predictions": select("select count(*) n, count(distinct round(p, 6)) distinct_n from lb", *LABELLED),
         "running_loss": select("select ex % 16 part, ex, round(avg(-ln(greatest(1e-15, case label when 1 then p else 1 - p end))) over (partition by ex % 16 order by ex rows unbounded preceding), 6) mean_loss from lb", *LABELLED),
-        "predictions_after_filter": select("select ex, round(p, 6) prediction from sc where ex > 1000", *SCORED),
-        "update_flags": select("select ex, ex < 1000 and ex % 10 <> 0 updates from ex", BASE),
+        "sequential_linear": in_order(),
+        "predictions_after_filter": in_order(shown="ex > 1000"),
+        "update_flags": in_order("case when ex % 10 = 0 then 0.0 else 1.0 end", "ex < 1000"),
+        "minibatch_linear": select(
+            "select idx, round(w1 - 0.001 * sum(g2), 6) w from gr2 group by idx, w1",
+            TOKENS,
+            f"two as (select ex, label, {masked('ha', h18)} idx from hx_ union all select ex, label, {masked('hb', h18)} from hx_)",
+            "one as (select idx, -0.001 * sum(0.5 - label) w1 from two group by idx)",
+            f"sc2 as (select ex, {sigmoid('sum(w1)')} p from two join one using (idx) group by ex)",
+            "gr2 as (select idx, w1, p - label g2 from two join one using (idx) join sc2 using (ex))",
+        ),
+        "model_save_load": select(f"select ex, round({stored_model()}, 4) prediction from hx_", TOKENS),
+        "sql_predict": select(f"select ex, case when ex % 7 = 0 then -1.0 else round({stored_model()}, 4) end prediction from hx_", TOKENS),
+        "record_cache": select("select ex, 1::int label, 1::int n_a, 1::int n_b from ex", BASE),
+        "stream_score": select(f"select ex, case when ex % 7 = 0 then 'ERR: Feature name was not predeclared in vw_namespace_map.csv: Z' else printf('%.4f', round({stored_model()}, 4)) end response from hx_", TOKENS),
+        "hot_swap": select(f"select ex, printf('%.4f', round({stored_model(second=False)}, 4)) before, printf('%.4f', round({stored_model('500', False)}, 4)) after, 'hogwild_load success' answer from hx_", TOKENS),
         "prediction_format": select("select ex, printf('%.6f', round(p, 6)) line from sc", *SCORED),
         "weight_stats": "select round(min(x), 4) min_w, round(max(x), 4) max_w, round(avg(x) filter (c_custkey % 10 = 0), 6) mean_w, abs(avg(x) filter (c_custkey % 10 = 0)) > 10 skewed from (select c_custkey, c_acctbal / 1000 x from customer)",
         "dequantize": "select p_partkey idx, round((-0.5 + p_size * 0.25)::double, 6) w from part",

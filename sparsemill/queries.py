@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import ffm_mask, int_hash, lr_mask, namespace_seed, token_hash
-from .functions.losses import gradient, prediction
+from .functions.losses import gradient, prediction, prediction_line
 from .operators import learn, metrics, score, weights
 from .operators.features import featurize, long_ffm, long_lr
 from .plans.spec import ModelSpec, from_args
-from .sources import cache, model_store, text
+from .sources import cache, model_store, sql, text
 from .sources.catalog import Catalog
 from .sources.generate import eats
 from .storage import shared_dir, stored
@@ -290,7 +290,9 @@ def normalize_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sum_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).select("vec_id", r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+    """A neuron whose weights are all one."""
+    total = F.element_at(score.dense(F.col("x"), [[1.0] * 64], [0.0]), 1)
+    return _vectors(spark, sf_dir).where(F.size("x") == 64).select("vec_id", r6(total).alias("total"))
 
 
 def layer_weights(neurons: int, inputs: int) -> tuple[list[list[float]], list[float]]:
@@ -353,18 +355,32 @@ def running_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.running_loss(by, by="part").select("part", F.col("example_num").alias("ex"), r6("mean_loss").alias("mean_loss"))
 
 
+IN_ORDER = "--noconstant --keep A --keep B --sgd -l 0.1"
+
+
+def _in_order(spark: SparkSession, sf_dir: str, importance: Column | None = None, **options) -> DataFrame:  # noqa: ANN003
+    """Predictions of a linear model that learns the orders one after the other."""
+    rows = featured(spark, sf_dir, IN_ORDER)
+    if importance is not None:
+        rows = rows.withColumn("importance", importance.cast("float"))
+    return learn.sequential(rows, spec(IN_ORDER), **options)[0].select(F.col("example_num").alias("ex"), r6("prediction").alias("prediction"))
+
+
+def sequential_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_order(spark, sf_dir)
+
+
 def predictions_after_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).where("example_num > 1000").select(F.col("example_num").alias("ex"), r6("prediction").alias("prediction"))
+    return _in_order(spark, sf_dir, predictions_after=1000)
 
 
 def update_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which examples would change a model that holds out from 1000 on, a tenth of them having no importance."""
-    rows = base(spark, sf_dir).withColumn("importance", F.when(F.col("ex") % 10 == 0, 0.0).otherwise(1.0))
-    return rows.select("ex", ((F.col("ex") < 1000) & (F.col("importance") != 0)).alias("updates"))
+    """Examples from 1000 on are held out, and a tenth of all has no importance: neither change the model."""
+    return _in_order(spark, sf_dir, F.when(F.col("example_num") % 10 == 0, 0.0).otherwise(1.0), holdout_after=1000)
 
 
 def prediction_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select(F.col("example_num").alias("ex"), F.format_string("%.6f", F.round("prediction", 6)).alias("line"))
+    return _scored(spark, sf_dir).select(F.col("example_num").alias("ex"), "prediction").withColumn("prediction", F.round("prediction", 6)).select("ex", prediction_line().alias("line"))
 
 
 # Weight tables
@@ -409,7 +425,7 @@ def model_averaging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.average(own, counts, spec("--keep A")).select("idx", r6("w").alias("w"))
 
 
-# Operators that SQL can't express
+# Learning, storing and serving
 
 
 def _eaten(spark: SparkSession, sf_dir: str, bits: int = 16) -> tuple[DataFrame, ModelSpec]:
@@ -458,6 +474,12 @@ def minibatch_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lr.select(F.lit("lr").alias("block"), "idx", "w").union(ffm.select(F.lit("ffm"), "idx", "w"))
 
 
+def minibatch_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear weights after two steps over all orders."""
+    args = "--noconstant --keep A --keep B --sgd -l 0.001"
+    return learn.minibatch(featured(spark, sf_dir, args), spec(args), epochs=2)[0].select("idx", r6("w").alias("w"))
+
+
 def _saved(spark: SparkSession, sf_dir: str, name: str, scale: float = 1000.0) -> str:
     import uuid
 
@@ -469,7 +491,16 @@ def _saved(spark: SparkSession, sf_dir: str, name: str, scale: float = 1000.0) -
 
 def model_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, w = model_store.load(spark, _saved(spark, sf_dir, "model"))
-    return learn.score_local(featurize(examples(spark, sf_dir), s), s, w)
+    out = learn.score_local(featurize(examples(spark, sf_dir), s), s, w)
+    return out.select(F.col("example_num").alias("ex"), F.round("prediction", 4).alias("prediction"))
+
+
+def sql_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model called from SQL; one line in seven can't be parsed."""
+    sql.register(spark, _saved(spark, sf_dir, "model"), "order_model")
+    line = F.when(F.col("ex") % 7 == 0, "1 |Z z").otherwise(F.concat(F.lit("1 |A "), "a", F.lit(" |B "), "b"))
+    base(spark, sf_dir).select("ex", line.alias("line")).createOrReplaceTempView("order_lines")
+    return spark.sql("select ex, round(order_model(line), 4) as prediction from order_lines")
 
 
 def quantize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,7 +515,12 @@ def record_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache.write(lines(spark, sf_dir, F.concat(F.lit("1 |A "), "a", F.lit(" |B "), "b")), CATALOG, path)
     if not cache.valid(spark, CATALOG, path):
         raise ValueError("the cache isn't valid")
-    return cache.read(spark, path).select("example_num", "label", F.size("ns_A").alias("n_a"), F.size("ns_B").alias("n_b"))
+    return cache.read(spark, path).select(F.col("example_num").alias("ex"), "label", F.size("ns_A").alias("n_a"), F.size("ns_B").alias("n_b"))
+
+
+def _four(response: str) -> Column:
+    """An answer's number at four decimals, to compare with other engines; errors as they are."""
+    return F.when(F.col(response).startswith("ERR"), F.col(response)).otherwise(F.format_string("%.4f", F.round(F.col(response).try_cast("double"), 4)))
 
 
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,7 +535,8 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema("example_num long, line string").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     server = Server(spark, _saved(spark, sf_dir, "model"))
     serve(source, server, lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}"), f"{root}/checkpoint", once=True).awaitTermination()
-    return spark.read.schema("example_num long, response string").parquet(f"{root}/out").select("example_num", "response")
+    out = spark.read.schema("example_num long, response string").parquet(f"{root}/out")
+    return out.select(F.col("example_num").alias("ex"), _four("response").alias("response"))
 
 
 def hot_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,7 +548,8 @@ def hot_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = server.answer(rows).withColumnRenamed("response", "before")
     command = spark.createDataFrame([(0, f"hogwild_load {_saved(spark, sf_dir, 'model', 500.0)}")], "example_num long, line string")
     answer = server.answer(command).collect()[0].response
-    return before.join(server.answer(rows).withColumnRenamed("response", "after"), "example_num").withColumn("answer", F.lit(answer))
+    both = before.join(server.answer(rows).withColumnRenamed("response", "after"), "example_num")
+    return both.select(F.col("example_num").alias("ex"), _four("before").alias("before"), _four("after").alias("after"), F.lit(answer).alias("answer"))
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,5 +584,5 @@ def queries() -> dict[str, Query]:
         "adagrad_flex_step": _step("adagrad_flex"),
         "adagrad_lut_step": _step("adagrad_lut"),
     }
-    plain = (lr_plus_ffm_score, label_parse, importance_parse, feature_tokenise, namespace_weight, f32_value_parse, command_filter, ns_lookup, undeclared_ns_anti, multi_value_namespace, token_hashes, int_hashes, int_pair_hashes, masks, primitive_filter, ffm_features, lr_combo_sums, lr_score, lr_score_clamped, ffm_field_vectors, ffm_pair_dot, ffm_diagonal, triangle, ffm_score, context_cache_score, relu_layer, normalize_predict, normalize_learn, sum_block, nn_forward, logloss_gradient, minibatch_gradient, logloss_metric, confusion_metrics, distinct_predictions, running_loss, predictions_after_filter, update_flags, prediction_format, weight_stats, dequantize, weight_diff, weight_diff_apply, inference_convert, model_averaging, sequential_train, delayed_train, warm_start, many_models_train, hogwild_train, minibatch_train, model_save_load, quantize_roundtrip, record_cache, stream_score, hot_swap, event_windows)
+    plain = (lr_plus_ffm_score, label_parse, importance_parse, feature_tokenise, namespace_weight, f32_value_parse, command_filter, ns_lookup, undeclared_ns_anti, multi_value_namespace, token_hashes, int_hashes, int_pair_hashes, masks, primitive_filter, ffm_features, lr_combo_sums, lr_score, lr_score_clamped, ffm_field_vectors, ffm_pair_dot, ffm_diagonal, triangle, ffm_score, context_cache_score, relu_layer, normalize_predict, normalize_learn, sum_block, nn_forward, logloss_gradient, minibatch_gradient, logloss_metric, confusion_metrics, distinct_predictions, running_loss, predictions_after_filter, update_flags, prediction_format, sequential_linear, minibatch_linear, sql_predict, weight_stats, dequantize, weight_diff, weight_diff_apply, inference_convert, model_averaging, sequential_train, delayed_train, warm_start, many_models_train, hogwild_train, minibatch_train, model_save_load, quantize_roundtrip, record_cache, stream_score, hot_swap, event_windows)
     return {f.__name__: f for f in plain} | named
