@@ -215,15 +215,17 @@ def nn_forward() -> str:
     return select(f"select vec_id, round({sigmoid(f'list_sum([{neurons}]) + list_sum(x)')}, 6) prediction from vec where n = 64", VECTORS)
 
 
-def in_order(importance: str = "1.0", learned: str = "true", shown: str = "ex > 0") -> str:
-    """Predictions of a linear model over two namespaces (five values each at most), learned order by order: a recursion that carries all weights."""
+def in_order(importance: str = "1.0", learned: str = "true", shown: str = "ex > 0", delay: int = 0, by: str = "0", decimals: int = 6) -> str:
+    """Predictions of linear models over two namespaces (ten values each at most), one for each value of `by`, learned order by order: a recursion that carries all weights. With a delay, an order is learned so many orders later."""
+    model = "" if by == "0" else "model model_id, "
     return f"""with recursive {BASE},
-    orders_ as materialized (select row_number() over (order by ex) n, ex, label, dense_rank() over (order by a) ai, 10 + dense_rank() over (order by b) bi, {importance} * ({learned})::int importance from ex),
-    state as (select 0::bigint n, 0::bigint ex, list_transform(range(20), lambda i: 0.0::double) weights, 0.0::double p
+    orders_ as materialized (select {by} model, row_number() over (partition by {by} order by ex) n, ex, label, dense_rank() over (order by a) ai, 10 + dense_rank() over (order by b) bi, {importance} * ({learned})::int importance from ex),
+    pairs_ as materialized (select o.*, l.ai la, l.bi lb, l.label ll, coalesce(l.importance, 0) li from orders_ o left join orders_ l on l.model = o.model and l.n = o.n - {delay}),
+    state as (select distinct model, 0::bigint n, 0::bigint ex, list_transform(range(20), lambda i: 0.0::double) weights, 0.0::double p from orders_
       union all
-      select n, ex, list_transform(weights, lambda v, i: case when i = ai or i = bi then v - 0.1::double * ((p - label) * importance) else v end), p
-      from (select o.n, o.ex, ai, bi, label, importance, weights, {sigmoid('weights[ai] + weights[bi]')} p from state join orders_ o on o.n = state.n + 1))
-    select ex, round(p, 6) prediction from state where n > 0 and {shown}"""
+      select model, n, ex, list_transform(weights, lambda v, i: case when i = la or i = lb then v - 0.1::float::double * ((lp - ll) * li) else v end), p
+      from (select o.model, o.n, o.ex, la, lb, ll, li, weights, {sigmoid('weights[ai] + weights[bi]')} p, {sigmoid('weights[la] + weights[lb]')} lp from state join pairs_ o on o.model = state.model and o.n = state.n + 1))
+    select {model}ex, round(p, {decimals}) prediction from state where n > 0 and {shown}"""
 
 
 def stored_model(scale: str = "1000", second: bool = True) -> str:
@@ -300,8 +302,11 @@ def oracle_sql() -> dict[str, str]:
             *LABELLED,
         ),
         "distinct_predictions": select("select count(*) n, count(distinct round(p, 6)) distinct_n from lb", *LABELLED),
-        "running_loss": select("select ex % 16 part, ex, round(avg(-ln(greatest(1e-15, case label when 1 then p else 1 - p end))) over (partition by ex % 16 order by ex rows unbounded preceding), 6) mean_loss from lb", *LABELLED),
+        "running_loss": select("select ex, round(avg(-ln(greatest(1e-15, case label when 1 then p else 1 - p end))) over (order by ex rows unbounded preceding), 6) mean_loss from lb", *LABELLED),
         "sequential_linear": in_order(),
+        "delayed_linear": in_order(delay=100),
+        "many_models_linear": in_order(by="(ex % 8)::varchar"),
+        "warm_start_linear": in_order(shown="ex > (select floor(max(ex) / 2) from ex)", decimals=4),
         "predictions_after_filter": in_order(shown="ex > 1000"),
         "update_flags": in_order("case when ex % 10 = 0 then 0.0 else 1.0 end", "ex < 1000"),
         "minibatch_linear": select(

@@ -20,7 +20,6 @@ from .operators.features import featurize, long_ffm, long_lr
 from .plans.spec import ModelSpec, from_args
 from .sources import cache, model_store, sql, text
 from .sources.catalog import Catalog
-from .sources.generate import eats
 from .storage import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,8 +350,7 @@ def distinct_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = _labelled(spark, sf_dir).withColumn("part", F.col("example_num") % 16)
-    return metrics.running_loss(by, by="part").select("part", F.col("example_num").alias("ex"), r6("mean_loss").alias("mean_loss"))
+    return metrics.running_loss(_labelled(spark, sf_dir)).select(F.col("example_num").alias("ex"), r6("mean_loss").alias("mean_loss"))
 
 
 IN_ORDER = "--noconstant --keep A --keep B --sgd -l 0.1"
@@ -379,6 +377,26 @@ def update_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_order(spark, sf_dir, F.when(F.col("example_num") % 10 == 0, 0.0).otherwise(1.0), holdout_after=1000)
 
 
+def delayed_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_order(spark, sf_dir, delay=100)
+
+
+def many_models_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model for each of eight groups."""
+    rows = featured(spark, sf_dir, IN_ORDER).withColumn("model_id", F.col("example_num") % 8)
+    out = learn.many_models(rows, spec(IN_ORDER)).where("kind = 'prediction'")
+    return out.select("model_id", F.col("example_num").alias("ex"), r6("prediction").alias("prediction"))
+
+
+def warm_start_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of the orders, learned from where the first half left off (weights are stored in single precision)."""
+    rows = stored(featured(spark, sf_dir, IN_ORDER), "features")
+    half = rows.agg(F.floor(F.max("example_num") / 2)).first()[0]
+    first = learn.sequential(rows.where(F.col("example_num") <= half), spec(IN_ORDER))[1]
+    out = learn.sequential(rows.where(F.col("example_num") > half), spec(IN_ORDER), first)[0]
+    return out.select(F.col("example_num").alias("ex"), F.round("prediction", 4).alias("prediction"))
+
+
 def prediction_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select(F.col("example_num").alias("ex"), "prediction").withColumn("prediction", F.round("prediction", 6)).select("ex", prediction_line().alias("line"))
 
@@ -428,42 +446,42 @@ def model_averaging(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Learning, storing and serving
 
 
-def _eaten(spark: SparkSession, sf_dir: str, bits: int = 16) -> tuple[DataFrame, ModelSpec]:
-    """As many examples of who eats what as there are orders, with fields."""
-    n = table(spark, sf_dir, "orders").count()
-    catalog = Catalog.from_rows([("A", "animal"), ("B", "food")])
-    s = from_args(f"--keep A --keep B --interactions AB --ffm_k 2 --ffm_field A --ffm_field B --adaptive -l 0.1 --power_t 0.3 -b {bits} --ffm_bit_precision {bits} --ffm_init_width 0.2", catalog)
-    rows = eats(spark, n, ids=100, beyond=25, noise=0)
-    return featurize(text.from_table(rows, "example_num", F.col("label"), {"A": F.col("animal"), "B": F.col("food")}, catalog), s), s
+WITH_FIELDS = "--keep A --keep B --interactions AB --ffm_k 2 --ffm_field A --ffm_field B --adaptive -l 0.1 --power_t 0.3 -b {bits} --ffm_bit_precision {bits} --ffm_init_width 0.2"
+
+
+def _with_fields(spark: SparkSession, sf_dir: str, bits: int = 16) -> tuple[DataFrame, ModelSpec]:
+    """All orders, for a model with fields."""
+    args = WITH_FIELDS.format(bits=bits)
+    return featured(spark, sf_dir, args), spec(args)
 
 
 def sequential_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features, s = _eaten(spark, sf_dir)
+    features, s = _with_fields(spark, sf_dir)
     return learn.sequential(features, s)[0]
 
 
 def delayed_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features, s = _eaten(spark, sf_dir)
+    features, s = _with_fields(spark, sf_dir)
     return learn.sequential(features, s, delay=100)[0]
 
 
 def warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features, s = _eaten(spark, sf_dir)
+    features, s = _with_fields(spark, sf_dir)
     features = stored(features, "features")
-    half = F.lit(features.count() // 2)
+    half = features.agg(F.floor(F.max("example_num") / 2)).first()[0]
     _, w = learn.sequential(features.where(F.col("example_num") <= half), s)
     return learn.sequential(features.where(F.col("example_num") > half), s, w)[0]
 
 
 def many_models_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model for each of eight groups."""
-    features, s = _eaten(spark, sf_dir, 12)
+    features, s = _with_fields(spark, sf_dir, 12)
     out = learn.many_models(features.withColumn("model_id", (F.col("example_num") % 8).cast("string")), s)
     return out.where("kind = 'prediction'").select("model_id", "example_num", "prediction")
 
 
 def hogwild_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features, s = _eaten(spark, sf_dir)
+    features, s = _with_fields(spark, sf_dir)
     return learn.score_local(features, s, learn.averaged(features, s, 4))
 
 
@@ -584,5 +602,5 @@ def queries() -> dict[str, Query]:
         "adagrad_flex_step": _step("adagrad_flex"),
         "adagrad_lut_step": _step("adagrad_lut"),
     }
-    plain = (lr_plus_ffm_score, label_parse, importance_parse, feature_tokenise, namespace_weight, f32_value_parse, command_filter, ns_lookup, undeclared_ns_anti, multi_value_namespace, token_hashes, int_hashes, int_pair_hashes, masks, primitive_filter, ffm_features, lr_combo_sums, lr_score, lr_score_clamped, ffm_field_vectors, ffm_pair_dot, ffm_diagonal, triangle, ffm_score, context_cache_score, relu_layer, normalize_predict, normalize_learn, sum_block, nn_forward, logloss_gradient, minibatch_gradient, logloss_metric, confusion_metrics, distinct_predictions, running_loss, predictions_after_filter, update_flags, prediction_format, sequential_linear, minibatch_linear, sql_predict, weight_stats, dequantize, weight_diff, weight_diff_apply, inference_convert, model_averaging, sequential_train, delayed_train, warm_start, many_models_train, hogwild_train, minibatch_train, model_save_load, quantize_roundtrip, record_cache, stream_score, hot_swap, event_windows)
+    plain = (lr_plus_ffm_score, label_parse, importance_parse, feature_tokenise, namespace_weight, f32_value_parse, command_filter, ns_lookup, undeclared_ns_anti, multi_value_namespace, token_hashes, int_hashes, int_pair_hashes, masks, primitive_filter, ffm_features, lr_combo_sums, lr_score, lr_score_clamped, ffm_field_vectors, ffm_pair_dot, ffm_diagonal, triangle, ffm_score, context_cache_score, relu_layer, normalize_predict, normalize_learn, sum_block, nn_forward, logloss_gradient, minibatch_gradient, logloss_metric, confusion_metrics, distinct_predictions, running_loss, predictions_after_filter, update_flags, prediction_format, sequential_linear, delayed_linear, many_models_linear, warm_start_linear, minibatch_linear, sql_predict, weight_stats, dequantize, weight_diff, weight_diff_apply, inference_convert, model_averaging, sequential_train, delayed_train, warm_start, many_models_train, hogwild_train, minibatch_train, model_save_load, quantize_roundtrip, record_cache, stream_score, hot_swap, event_windows)
     return {f.__name__: f for f in plain} | named
