@@ -20,7 +20,7 @@ from sparsemill.plans.spec import SpecError, from_args
 from sparsemill.sources import cache, local, model_store, sql, text, vector
 from sparsemill.sources.catalog import Catalog
 from sparsemill.sources.generate import as_lines, eats
-from sparsemill.storage import shared_dir
+from sparsemill.storage import release, shared_dir, stored
 from sparsemill.streaming.daemon import Daemon
 from sparsemill.streaming.serve import Server, learn_stream, serve
 
@@ -447,3 +447,11 @@ def test_cached_examples_give_the_same_features(spark, tmp_path):
     columns = ("example_num", "label", "importance", "lr", "ffm")
     want = sorted(vector.featurize(lines, spec).select(*columns).collect())
     assert sorted(vector.featurize_examples(cache.read(spark, f"{tmp_path}/cache"), spec).select(*columns).collect()) == want
+
+
+def test_stored_tables_are_released(spark):
+    own = spark.newSession()
+    df = stored(own.range(5).toDF("x"), "some")
+    place = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 5 and os.path.isdir(place)
+    assert release(own) == 1 and not os.path.exists(place) and release(own) == 0
