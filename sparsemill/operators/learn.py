@@ -57,6 +57,22 @@ def _weight_batches(learner: Learner | LinearFold) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(["weight"] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array([block] * n, pa.string()), pa.array(idx[x].astype(np.int64)), pa.array(w[x]), pa.array(acc[x])], NAMES)
 
 
+def linear_columns(features: DataFrame, *more: str) -> DataFrame:
+    """What a linear model reads of features: lists of plain numbers, a third of the size of lists of structs where rows are dealt and sorted."""
+    return features.select(*more, "example_num", "label", "importance", F.col("lr.hash").alias("hash"), F.col("lr.value").alias("value"))
+
+
+def linear_lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many linear features each row of a batch has, with lr or with hash and value; all places, all values."""
+    struct = batch.schema.get_field_index("lr")
+    column = batch.column(struct if struct >= 0 else batch.schema.get_field_index("hash"))
+    size = np.where(np.asarray(column.is_null()), 0, np.diff(np.asarray(column.offsets)))
+    flat = column.flatten()
+    if struct >= 0:
+        return size, np.asarray(flat.field("hash")), np.asarray(flat.field("value"))
+    return size, np.asarray(flat), np.asarray(batch.column(batch.schema.get_field_index("value")).flatten())
+
+
 class LinearFold:
     """The fold of a model of linear weights alone: several times as fast as the arrays of a Learner for examples of a few features.
 
@@ -104,9 +120,8 @@ class LinearFold:
         waiting: deque[tuple] = deque()  # of places, values (None where all are one), label, importance
         for batch in batches:
             get = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
-            column = get("lr")
-            flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(np.where(np.asarray(column.is_null()), 0, np.diff(np.asarray(column.offsets))))]).tolist()
-            places, v = np.asarray(flat.field("hash")), np.asarray(flat.field("value"))
+            size, places, v = linear_lists(batch)
+            ends = np.concatenate([[0], np.cumsum(size)]).tolist()
             v = None if (v == 1.0).all() else v.tolist()
             distinct, at = np.unique(np.concatenate([places, *(x[0] for x in waiting)]), return_inverse=True)
             at = at.tolist()
@@ -237,7 +252,8 @@ def sequential(features: DataFrame, spec: ModelSpec, start: DataFrame | None = N
             learner.load(block, idx, w, acc)
         yield from learner.fold(batches, **options) if isinstance(learner, LinearFold) else fold(learner, batches, **options)
 
-    rows = features.select("example_num", "label", "importance", "lr", "ffm").repartition(1).sortWithinPartitions("example_num")
+    rows = features.select("example_num", "label", "importance", "lr", "ffm") if spec.ffm_k or spec.layers else linear_columns(features)
+    rows = rows.repartition(1).sortWithinPartitions("example_num")
     return split(stored(rows.mapInArrow(run, FOLD), "fold"))
 
 
@@ -294,7 +310,8 @@ def many_models(features: DataFrame, spec: ModelSpec, model: str = "model_id", p
             for out in learner.fold(own, **options) if isinstance(learner, LinearFold) else fold(learner, own, **options):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * out.num_rows, pa.string()), *out.columns], [model, *NAMES])
 
-    rows = features.select(F.col(model).cast("string").alias(model), "example_num", "label", "importance", "lr", "ffm")
+    named = features.withColumn(model, F.col(model).cast("string"))
+    rows = named.select(model, "example_num", "label", "importance", "lr", "ffm") if spec.ffm_k or spec.layers else linear_columns(named, model)
     dealt = rows.repartitionByRange(partitions, model) if partitions else rows.repartition(model)
     return dealt.sortWithinPartitions(model, "example_num").mapInArrow(run, f"{model} string, {FOLD}")
 
@@ -462,8 +479,8 @@ def batch_predictions(learner: BatchScorer, batch: pa.RecordBatch) -> np.ndarray
         return np.repeat(np.arange(len(size)), size), *(np.asarray(flat.field(f)) for f in ("hash", "value", third))
 
     n = batch.num_rows
-    row, h, v, _ = lists("lr", "combo")
-    total = np.bincount(row, learner.w[h] * v, n)
+    size, h, v = linear_lists(batch)
+    total = np.bincount(np.repeat(np.arange(n), size), learner.w[h] * v, n)
     if learner.k:
         row, h, v, f = lists("ffm", "field")
         size = learner.F * learner.k
@@ -502,7 +519,8 @@ def score_local(features: DataFrame, spec: ModelSpec, weights: DataFrame) -> Dat
             predictions = np.array([learner.predict(e) for e in examples_of(batch)]) if spec.layers else batch_predictions(learner, batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predictions, pa.float64())], ["example_num", "prediction"])
 
-    return features.select("example_num", "label", "importance", "lr", "ffm").mapInArrow(run, "example_num long, prediction double")
+    rows = features.select("example_num", "label", "importance", "lr", "ffm") if spec.ffm_k or spec.layers else linear_columns(features)
+    return rows.mapInArrow(run, "example_num long, prediction double")
 
 
 def score_joined(features: DataFrame, spec: ModelSpec, weights: DataFrame) -> DataFrame:

@@ -325,6 +325,13 @@ def oracle_sql() -> dict[str, str]:
         "prediction_format": select("select ex, printf('%.6f', round(p, 6)) line from sc", *SCORED),
         "weight_stats": "select round(min(x), 4) min_w, round(max(x), 4) max_w, round(avg(x) filter (c_custkey % 10 = 0), 6) mean_w, abs(avg(x) filter (c_custkey % 10 = 0)) > 10 skewed from (select c_custkey, c_acctbal / 1000 x from customer)",
         "dequantize": "select p_partkey idx, round((-0.5 + p_size * 0.25)::double, 6) w from part",
+        # Half precision has eleven significant bits, ties to even.
+        "quantize_roundtrip": select(
+            "select idx, half::bigint bucket, round((low + (half::float * inc)::float)::float::double, 6) w from halved",
+            "bounds as (select low, ((high - low)::float / 65025::float)::float inc from (select round(min(c_acctbal / 1000), 4)::float low, round(max(c_acctbal / 1000), 4)::float high from customer))",
+            "buckets as (select c_custkey idx, low, inc, round(((c_acctbal / 1000)::float - low)::float::double / inc::double) k from customer, bounds)",
+            "halved as (select *, case when k < 2048 then k else round_even(k / pow(2, floor(log2(k)) - 10), 0) * pow(2, floor(log2(k)) - 10) end half from buckets)",
+        ),
         "weight_diff": "select pos, pos - coalesce(lag(pos) over (order by pos), 0) delta, b new from (select o_orderkey pos, ((o_orderkey * 31 % 256 + 1) % 256)::int b from orders where o_orderkey % 7 = 0)",
         "weight_diff_apply": "select o_orderkey pos, case when o_orderkey % 7 = 0 then (o_orderkey * 31 % 256 + 1) % 256 else o_orderkey * 31 % 256 end::int b from orders",
         "inference_convert": f"select 'lr' block, p_partkey idx, round({w('p_partkey')}, 6) w from part",

@@ -523,7 +523,8 @@ def sql_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_acctbal") / 1000).alias("w"))
-    return weights.dequantize(weights.quantize(w)).join(w.withColumnRenamed("w", "was"), "idx")
+    q = weights.quantize(w)
+    return q.join(weights.dequantize(q), "idx").select("idx", F.col("q").cast("long").alias("bucket"), r6("w").alias("w"))
 
 
 def record_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
