@@ -46,9 +46,11 @@ from .common import stored
 
 TABLES = 3
 #: Times 1 / cbrt(n): the part of a table's buckets that is probed.
-PROBED = 1.25
+PROBED = 0.6
 #: Rows of a block, or more for large tables, and queries that meet it at a time.
 BLOCK, ASKS = 32_768, 1024
+#: The sizes of so many leading buckets (32 bytes each) are broadcast; more are joined.
+FEW = 1 << 20
 #: Steps in which losses are summed up to find the greatest one that is probed.
 BINS = 2048
 
@@ -192,11 +194,10 @@ def _index(coded: DataFrame, keep: int) -> DataFrame:
     return alone.select("dim", "u", "v", "codes", "prefixes", "ids").union(once.select("dim", "u", "v", "codes", "prefixes", "ids"))
 
 
-def _search(index: DataFrame, asked: DataFrame, k: int, block: int, hashes: int, part: float, depth_of) -> DataFrame:  # noqa: ANN001
-    """query_id, far, vec_id: the nearest k or more (with ties) of each block that a query meets. index: dim, u, v, ids, tab, prefix, codes of that table; asked: dim, u, v, ids."""
+def _search(index: DataFrame, asked: DataFrame, tables: int, k: int, block: int, hashes: int, part: float, depth_of) -> DataFrame:  # noqa: ANN001
+    """query_id, far, vec_id: the nearest k or more (with ties) of each block that a query meets. index: dim, u, v, ids, tab (from 0), prefix, codes of that table; asked: dim, u, v, ids."""
     kind = index.schema["v"].dataType.elementType.simpleString()
     key = ["dim", "tab", "prefix"]
-    tabs = index.select("dim", "tab").distinct()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["dim", "tab", "prefix", "reach", "u", "v", "ids"]
@@ -213,10 +214,11 @@ def _search(index: DataFrame, asked: DataFrame, k: int, block: int, hashes: int,
                     one = own.take(pa.array(np.full(m, j)))
                     yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array(lead), pa.array(np.full(m, most[j], np.float32)), *(one.column(i) for i in (2, 3, 4))], names)
 
-    # Tables are a few a length of vectors.
-    probes = stored(asked.join(tabs, "dim").select("dim", "tab", "u", "v", "ids").mapInArrow(probe, f"dim int, tab int, prefix long, reach float, u long, v array<{kind}>, ids array<long>"), "probes")
+    probes = stored(asked.select("dim", F.explode(F.array(*map(F.lit, range(tables)))).alias("tab"), "u", "v", "ids").mapInArrow(probe, f"dim int, tab int, prefix long, reach float, u long, v array<{kind}>, ids array<long>"), "probes")
     met = probes.groupBy(key).agg(F.ceil(F.count("*") / ASKS).cast("int").alias("asks"))
     sizes = stored(index.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("rows")).join(met, key), "sizes")
+    if sizes.count() <= FEW:
+        sizes = F.broadcast(sizes)
     deal = lambda n: F.pmod(F.xxhash64("u", F.lit(7)), F.col(n)).cast("int")
     left = probes.join(sizes, key).withColumn("ask", deal("asks")).select(*key, "ask", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "reach", "v", "ids")
     right = index.join(sizes, key).withColumn("row", deal("rows")).select(*key, F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "row", "codes", "v", "ids")
@@ -278,7 +280,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     asked = stored(asked.groupBy("dim", "u", "w", "g").agg(F.first("v").alias("v"), F.array_distinct(F.collect_list("vec_id")).alias("ids")).select("dim", "u", "v", "ids"), "asked")
     each_table = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.get("prefixes", F.lit(t)).alias("prefix"), F.slice("codes", t * hashes + 1, hashes).alias("codes")) for t in range(tables)]))
     dealt = index.select("dim", "u", "v", "ids", each_table.alias("x")).select("dim", "u", "v", "ids", "x.*")
-    best = stored(_best(_search(dealt, asked, k, block, hashes, part, lambda dim: _depth(dim, n, block, hashes)), k), "best")
+    best = stored(_best(_search(dealt, asked, tables, k, block, hashes, part, lambda dim: _depth(dim, n, block, hashes)), k), "best")
     # Exactly, queries that have fewer than k, unless they are compared with all others of their length already.
     own = asked.select("dim", F.explode("ids").alias("vec_id")).groupBy("vec_id").agg(F.collect_set("dim").alias("dims"))
     counted = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found"))
@@ -288,6 +290,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
         lengths = short.select(F.explode("dims").alias("dim")).distinct()
         whole = index.join(lengths, "dim", "left_semi").select("dim", "u", "v", "ids", F.lit(0).alias("tab"), F.lit(0).cast("long").alias("prefix"), F.slice("codes", 1, hashes).alias("codes"))
         few = asked.select("dim", "u", "v", F.explode("ids").alias("vec_id")).join(short, "vec_id", "left_semi").select("dim", "u", "v", F.array("vec_id").alias("ids"))
-        exact = _best(_search(whole, few, k, block, hashes, 1.0, lambda dim: 0), k)
+        exact = _best(_search(whole, few, 1, k, block, hashes, 1.0, lambda dim: 0), k)
         best = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(exact)
     return best.select("query_id", "rank", "vec_id", F.col("far").alias("score"))
