@@ -21,6 +21,11 @@ def gradient(total: Column, label: Column, importance: Column) -> Column:
     return F.when(F.isnan(total) | (F.abs(total) > 50), F.lit(0.0)).otherwise((prediction(total) - label) * importance)
 
 
+def clamped_gradient(total: Column, label: Column, importance: Column) -> Column:
+    """The same, but beyond +-50 what it is there: the clamped prediction less the label."""
+    return F.when(F.isnan(total), F.lit(0.0)).otherwise((prediction(total) - label) * importance)
+
+
 def logloss(p: Column, label: Column, floor: float = 1e-15) -> Column:
     """Loss of one prediction; probabilities of zero count as `floor`."""
     own = F.when(label == 1, p).otherwise(1 - p)

@@ -178,6 +178,24 @@ def test_one_example_is_one_minibatch(spark):
         assert np.allclose(fields, learner.fw, atol=1e-6)
 
 
+def test_minibatches_come_back_from_beyond_the_clamp(spark):
+    """Against plain sums: the first of these steps carries every example's sum beyond 50."""
+    spec, features = eaten(spark, 400, "--noconstant --keep A --keep B --sgd -l 100 -b 14")
+    rows = [({x.hash for x in r.lr}, r.label) for r in features.collect()]
+    want = dict.fromkeys(set().union(*(x for x, _ in rows)), 0.0)
+    beyond = []
+    for _ in range(3):
+        totals = [sum(want[h] for h in x) for x, _ in rows]
+        beyond.append(sum(abs(t) > 50 for t in totals))
+        p = 1 / (1 + np.exp(-np.clip(totals, -50, 50)))
+        for (x, label), q in zip(rows, p, strict=True):
+            for h in x:
+                want[h] -= 100 * (q - label)
+    assert beyond[1] > 300
+    got = {r.idx: r.w for r in learn.minibatch(features, spec, epochs=3)[0].collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_store_checks_and_converts(spark, tmp_path):
     spec, features = eaten(spark, 100, FFM)
     _, w = learn.sequential(features, spec)
