@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsemill.llm import line_dedup, minhash, packing, quality_classifier, substring_dedup
+from sparsemill.llm import line_dedup, near_copies, packing, quality_classifier, substring_dedup
 from sparsemill.llm.common import fresh, stored
 
 #: No SQL: the stages learn a model, hash bytes and search for a packing. Tests hold them against brute force.
@@ -45,11 +45,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near copies, linked from a Jaccard similarity of 0.8 of their five-word shingles on (9, by the rule for stages); unlike texts of one id stay. Of rows of an id and a text, the one whose columns hash lowest."""
+    """Keeps one document, that of the smallest id, of each group of near copies, linked from a Jaccard similarity of 0.8 of their five-word shingles on (9: by SimHash fingerprints, verified by whole shingle sets); unlike texts of one id stay. Of rows of an id and a text, the one whose columns hash lowest."""
     name, own, row = fresh(docs, "key", "own", "row")
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.withColumns({name: F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(text, F.lit(NO_ID))), own: text, row: F.xxhash64(*docs.columns)})
-    kept = minhash.near_copies(keyed, id_col=name).where("doc_id = component_id and text_key = component_key")
+    kept = near_copies.near_copies(keyed, id_col=name).where("doc_id = component_id and text_key = component_key")
     kept = kept.select(F.col("doc_id").alias(name), F.col("text_key").alias(own)).distinct()
     lowest = keyed.select(name, own, row).join(kept, [name, own]).groupBy(name, own).agg(F.min(row).alias(row))
     return keyed.join(stored(lowest, "kept"), [name, own, row], "left_semi").dropDuplicates([name, own, row]).select(*docs.columns)

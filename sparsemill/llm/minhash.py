@@ -51,7 +51,7 @@ def band_keys(found: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def _node(found: np.ndarray) -> int:
+def node_of(found: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(found.tobytes()), "big", signed=True)
 
 
@@ -63,7 +63,7 @@ def _sketches(docs: DataFrame, words_each: int) -> DataFrame:
             for part in steps(batch):
                 sets = [shingles(t, words_each) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(map(_node, sets), pa.int64()), keys], ["doc_id", "text_key", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(map(node_of, sets), pa.int64()), keys], ["doc_id", "text_key", "node", "keys"])
 
     return docs.mapInArrow(run, "doc_id long, text_key long, node long, keys array<long>")
 
@@ -75,7 +75,7 @@ def _sets(docs: DataFrame, words_each: int) -> DataFrame:
         for batch in batches:
             for part in steps(batch):
                 sets = [shingles(t, words_each) for t in part.column(0).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "found"])
 
     return docs.select("text").mapInArrow(run, "node long, found array<long>")
 
@@ -108,8 +108,12 @@ def links(nodes: DataFrame, docs: DataFrame, words_each: int, similarity: float)
     large = lists.where("tiles > 1")
     other = large.select("key", F.col("tile").alias("tile2"), F.col("x").alias("y"))
     crossed = large.join(other, "key").where("tile < tile2").select(F.concat("x", "y").alias("x"))
-    blocks = lists.where("size(x) > 1").select("x").union(crossed).distinct()
-    asked = stored(blocks.select(F.xxhash64("x").alias("block"), F.explode("x").alias("node")), "asked")
+    return verified(lists.where("size(x) > 1").select("x").union(crossed), nodes, docs, words_each, similarity)
+
+
+def verified(blocks: DataFrame, nodes: DataFrame, docs: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """a, b: edges that connect what links of the similarity within lists x of nodes connect."""
+    asked = stored(blocks.distinct().select(F.xxhash64("x").alias("block"), F.explode("x").alias("node")), "asked")
     wanted = stored(asked.select("node").distinct(), "wanted")
     # One set a node: its first row's text has it. Should an id be NO_ID, more texts may be read than needed.
     ids = nodes.join(wanted, "node").select(F.coalesce("low.doc_id", F.lit(NO_ID)).alias("own"), F.col("low.text_key").alias("text_key")).distinct()
@@ -131,7 +135,12 @@ def near_copies(docs: DataFrame, words_each: int = WORDS, similarity: float = SI
     prints = stored(_sketches(rows, words_each), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     nodes = stored(prints.groupBy("node").agg(F.min(first).alias("low"), F.first("keys").alias("keys")), "nodes")
-    forest = star_forest(links(nodes, rows, words_each, similarity))
+    return rooted_copies(prints, nodes, links(nodes, rows, words_each, similarity))
+
+
+def rooted_copies(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """What near_copies returns, by the edges between its nodes."""
+    forest = star_forest(edges)
     rooted = nodes.join(forest.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
     lows = stored(rooted.groupBy("root").agg(F.min("low").alias("first")), "lows")
